@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate
+from lattica.llm import decontaminate, packing, tokencount
 from lattica.llm.shared import table
 
 
@@ -14,8 +14,16 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": op3_decontaminate}
+    return {"op3_decontaminate": op3_decontaminate, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing}
 
 
 def oracle_sql() -> dict[str, str]:
