@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, packing, tokencount
+from lattica.llm import decontaminate, jaccard, packing, tokencount
 from lattica.llm.shared import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,7 +27,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": op3_decontaminate, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing}
+    return {"op1_jaccard_join": op1_jaccard_join, "op3_decontaminate": op3_decontaminate, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing}
 
 
 def oracle_sql() -> dict[str, str]:
