@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, jaccard, packing, tokencount
+from lattica.llm import decontaminate, jaccard, packing, secrets, tokencount
 from lattica.llm.shared import table
 
 
@@ -26,8 +26,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op3_decontaminate": op3_decontaminate, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing}
+    return {"op1_jaccard_join": op1_jaccard_join, "op3_decontaminate": op3_decontaminate, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing, "op6_secret_scan": op6_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
