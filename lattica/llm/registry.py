@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, jaccard, packing, quality, secrets, tokencount, topk, warc
+from lattica.llm import decontaminate, jaccard, packing, pii, quality, secrets, tokencount, topk, warc
 from lattica.llm.shared import table
 
 
+#: The registered query's key; real ones come from the caller.
+PSEUDONYM_KEY = "registered-query"
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
@@ -39,13 +43,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.posteriors(docs, labels, host=F.col("source"), path=F.concat_ws("/", "source", "lang"), columns=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_top_k, op3_decontaminate, op4_token_counts, op5_packing, op6_secret_scan, op8_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_top_k, op3_decontaminate, op4_token_counts, op5_packing, op6_secret_scan, op8_warc, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
