@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, jaccard, packing, pii, quality, secrets, tokencount, topk, warc
+from lattica.llm import decontaminate, jaccard, licenses, packing, pii, quality, secrets, tokencount, topk, warc
 from lattica.llm.shared import table
 
 
@@ -39,6 +39,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_top_k, op3_decontaminate, op4_token_counts, op5_packing, op6_secret_scan, op8_warc, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_top_k, op3_decontaminate, op4_token_counts, op5_packing, op6_secret_scan, op7_licenses, op8_warc, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
