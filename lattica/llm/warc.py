@@ -1,9 +1,10 @@
 """Web archives packaged in ZIP files: a writer, and a reader that never extracts.
 
-A package is a ZIP whose members are stored, not compressed: ``archive/*.warc``
-and ``indexes/*.cdx``, whose lines give each record's place in its archive.  As
-stored members lie in the file byte for byte, a record is one range read: offset
-of the member's data plus offset of the record.  The reader finds members from
+A package is a ZIP whose members are stored, not compressed: ``archive/*.warc.gz``,
+in which every record is a gzip member of its own, and ``indexes/*.cdx``, whose
+lines give each record's place in its archive.  As stored members lie in the file
+byte for byte, a record is one range read: offset of the member's data plus offset
+of the record.  The reader finds members from
 the end-of-central-directory record, the ZIP64 records where they are needed,
 and the central directory.
 
@@ -19,6 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import struct
 import uuid
@@ -37,7 +39,7 @@ from lattica.llm.shared import fresh_path, written
 #: Payloads of at least so many bytes are stored once.
 LEAST_SHARED = 100
 #: Bytes of archive in one package.
-PACKAGE_BYTES = 32 << 20
+PACKAGE_BYTES = 16 << 20
 #: From so many bytes or entries on, a ZIP number moves to its ZIP64 field.
 ZIP32, ZIP16 = 0xFFFFFFFF, 0xFFFF
 
@@ -231,7 +233,7 @@ def write_packages(pages: DataFrame, folder: str, *, package_bytes: int = PACKAG
             scratch = f"{base}/.{name}-{uuid.uuid4().hex}"
             with files.open_output_stream(scratch) as out:
                 zipped = Packer(out)
-                zipped.add(f"archive/{name}.warc", b"".join(held))
+                zipped.add(f"archive/{name}.warc.gz", b"".join(held))
                 zipped.add(f"indexes/{name}.cdx", "".join(index).encode())
                 zipped.close()
             files.move(scratch, f"{base}/{name}.zip")
@@ -239,7 +241,7 @@ def write_packages(pages: DataFrame, folder: str, *, package_bytes: int = PACKAG
 
         for rb in batches:
             for page, url, html, digest, refers in zip(*(rb.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
-                raw = record(page, url, html.encode(), digest, refers)
+                raw = gzip.compress(record(page, url, html.encode(), digest, refers), compresslevel=4, mtime=0)
                 index.append(f"{size} {len(raw)} {_line(url)}\n")
                 held.append(raw)
                 size += len(raw)
@@ -274,11 +276,11 @@ def read_packages(paths: DataFrame, *, payloads: bool = True) -> DataFrame:
             for path in rb.column("path").to_pylist():
                 package = open_package(path)
                 for name in [n for n in package.members if n.startswith("indexes/")]:
-                    archive = f"archive/{name[8:-4]}.warc"
+                    archive = f"archive/{name[8:-4]}.warc.gz"
                     rows, size = [], 0
                     for line in package.checked(name).decode().split("\n")[:-1]:
                         offset, length, _ = line.split(" ", 2)
-                        r = parse(package.read(archive, int(offset), int(length)))
+                        r = parse(gzip.decompress(package.read(archive, int(offset), int(length))))
                         kind, digest = r.headers["warc-type"], r.headers["warc-payload-digest"].removeprefix("sha256:")
                         if kind == "response" and hashlib.sha256(r.payload).hexdigest() != digest:
                             raise ValueError(f"a payload in {path} doesn't match its digest")
