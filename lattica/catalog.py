@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from lattica.operators import signals, tables
 from lattica.plans import flagship
 
-MODULES = (flagship,)
+MODULES = (flagship, tables, signals)
 
 
 def queries() -> dict:

@@ -1 +1,73 @@
-"""Functions of the lattica engine."""
+"""Column functions that several operators share: rounding rules, grids and number texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def round_half_up(x: Column) -> Column:
+    """To the nearest whole number, halves toward plus infinity."""
+    return F.floor(x + F.lit(0.5)).cast("long")
+
+
+def ppm(x: Column) -> Column:
+    """A ratio as whole parts per million."""
+    return round_half_up(x * F.lit(1e6))
+
+
+def floor_to(x: Column, grid: int) -> Column:
+    """The grid line at or below whole ``x``, also for negative numbers."""
+    return (x - F.pmod(x, F.lit(grid))).cast("long")
+
+
+def ceil_to(x: Column, grid: int) -> Column:
+    return (x + F.pmod(-x, F.lit(grid))).cast("long")
+
+
+def clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def fixed_text(x: Column, places: int, suffix: str = "") -> Column:
+    """A decimal with ``places`` digits, halves away from zero."""
+    return F.concat(F.round(x, places).cast(f"decimal(38,{places})").cast("string"), F.lit(suffix))
+
+
+def even_text(x: Column, places: int, trim: bool = False) -> Column:
+    """A decimal with ``places`` digits, halves to even; trailing zeros go if ``trim``."""
+    text = F.bround(x, places).cast(f"decimal(38,{places})").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "") if trim else text
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two equally long arrays in double."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def tokens(text: Column) -> Column:
+    """Distinct lower-cased runs of letters and digits, first occurrences in order."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def ease_in_cubic(t: Column) -> Column:
+    return t * t * t
+
+
+def ease_out_cubic(t: Column) -> Column:
+    return 1 - (1 - t) * (1 - t) * (1 - t)
+
+
+def ease_in_out_cubic(t: Column) -> Column:
+    back = 2 - 2 * t
+    return F.when(t < 0.5, 4 * t * t * t).otherwise(1 - back * back * back / 2)
+
+
+def semver_key(version: Column) -> Column:
+    """major.minor.patch as a struct that orders as versions do; null if it is none."""
+    part = lambda i: F.regexp_extract(version, r"^(\d+)\.(\d+)\.(\d+)$", i).cast("int")
+    return F.when(version.rlike(r"^\d+\.\d+\.\d+$"), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))

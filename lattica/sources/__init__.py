@@ -1 +1,83 @@
-"""Sources of the lattica engine."""
+"""Reading and writing: Parquet tables, keyed JSON tables, captions, transcripts and file lists."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class SourceError(ValueError):
+    """A refused input: a stable ``code`` and a message."""
+
+    def __init__(self, code: str, message: str) -> None:
+        super().__init__(f"{code}: {message}")
+        self.code = code
+
+
+def read_keyed_json(spark: SparkSession, path: str, schema: T.StructType, key: list[str]) -> DataFrame:
+    """Rows of JSON documents of the form {"rows": [...]} in a declared schema, with ``_ord``; a repeated key is refused.
+
+    Duplicate names inside one object are refused too: Spark would keep the last in silence.
+    """
+
+    @F.udf("boolean")
+    def has_duplicates(text: str) -> bool:
+        def unique(pairs):
+            if len({k for k, _ in pairs}) != len(pairs):
+                raise SourceError("DUPLICATE_NAME", "a name repeats")
+            return dict(pairs)
+
+        try:
+            json.loads(text, object_pairs_hook=unique)
+        except SourceError:
+            return True
+        return False
+
+    files = spark.read.text(path, wholetext=True)
+    if not files.filter(has_duplicates("value")).isEmpty():
+        raise SourceError("DUPLICATE_NAME", f"a name repeats in an object of {path}")
+    rows = spark.read.schema(T.StructType([T.StructField("rows", T.ArrayType(schema))])).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    out = rows.select(F.posexplode("rows").alias("_ord", "row")).select("row.*", "_ord")
+    if not out.groupBy(*key).count().filter("count > 1").isEmpty():
+        raise SourceError("DUPLICATE_KEY", f"a key of {key} repeats in {path}")
+    return out
+
+
+def verified_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files below a folder with length and SHA-256, ordered by path where they are shown."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+#: hh:mm:ss.mmm or mm:ss.mmm, comma or point
+_TIME = r"(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})"
+
+
+def _millis(text, pattern: str, first: int):
+    part = lambda i: F.regexp_extract(text, pattern, first + i)
+    hours = F.when(part(0) == "", 0).otherwise(part(0).cast("long"))
+    return ((hours * 60 + part(1).cast("long")) * 60 + part(2).cast("long")) * 1000 + part(3).cast("long")
+
+
+def parse_captions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Cues of WebVTT or SRT texts: id, cue number, start and end in ms, lines, and whether it begins before the last ended."""
+    from pyspark.sql import Window
+
+    line = rf"{_TIME} --> {_TIME}"
+    blocks = texts.select(id_col, F.posexplode(F.split(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), r"\n\n+")).alias("at", "block")).filter(F.col("block").rlike(line))
+    cues = blocks.select(id_col, "at", _millis(F.col("block"), line, 1).alias("start_ms"), _millis(F.col("block"), line, 5).alias("end_ms"), F.split(F.regexp_extract("block", rf"(?s){line}[^\n]*\n(.*)", 9), "\n").alias("lines"))
+    order = Window.partitionBy(id_col).orderBy("at")
+    return cues.select(id_col, F.row_number().over(order).alias("cue"), "start_ms", "end_ms", "lines", F.coalesce(F.col("start_ms") < F.lag("end_ms").over(order), F.lit(False)).alias("overlaps"))
+
+
+def vtt_time(ms):
+    """Whole milliseconds as hh:mm:ss.mmm."""
+    pad = lambda x, n: F.lpad(F.floor(x).cast("string"), n, "0")
+    return F.concat(pad(ms / 3600000, 2), F.lit(":"), pad(ms / 60000 % 60, 2), F.lit(":"), pad(ms / 1000 % 60, 2), F.lit("."), pad(ms % 1000, 3))
