@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.operators import signals, tables
+from lattica.operators import intervals, signals, tables
 from lattica.plans import flagship
 
-MODULES = (flagship, tables, signals)
+MODULES = (flagship, tables, signals, intervals)
 
 
 def queries() -> dict:
