@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.operators import intervals, signals, tables
+from lattica.operators import charts, graphs, intervals, search, signals, tables
 from lattica.plans import flagship
 
-MODULES = (flagship, tables, signals, intervals)
+MODULES = (flagship, tables, signals, intervals, charts, search, graphs)
 
 
 def queries() -> dict:
