@@ -43,14 +43,18 @@ from lattica.llm.shared import written
 
 #: Words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
-#: 64-bit words of a bitmap signature.
+#: 64-bit words of a bitmap signature, at least; they double until there are two bits a shingle.
 SIGNATURE = 16
 #: A shingle is reported as common from so many classes within one stretch of a task on.
 COMMON_FROM, STRETCH = 4, 1 << 21
 #: Common shingles in the broadcast order; those beyond it are ordered by hash like all others.
 COMMON_MOST = 1 << 17
+#: Blocks of so many classes are paired by a self-join; larger ones go through tiles.
+SMALL = 16
 #: Rows of a tile's cell; larger tiles are dealt to several cells.
 CELL = 2048
+#: Ids that are broadcast when their documents are left out; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 #: Bits of the filter over the ids whose sets are needed, by their number; at least and at most.
 FILTER_BITS = (1 << 23, 1 << 26)
 
@@ -67,8 +71,12 @@ def class_id(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * SIGNATURE, np.uint8)
-    bits[(shingles >> np.uint64(20)) % np.uint64(64 * SIGNATURE)] = 1
+    """A hashed bitmap; one of twice the length folds to one of the length by OR of its halves."""
+    size = SIGNATURE
+    while 32 * size < len(shingles):
+        size *= 2
+    bits = np.zeros(64 * size, np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(64 * size)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -115,15 +123,15 @@ def _ordered(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """Per row: id, set size, class, and the class's prefix where this task meets the class first."""
+    """Per row: id, set size, class, and the class's prefix and bitmap where this task meets the class first."""
     known = docs.sparkSession.sparkContext.broadcast(common)
-    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType()))])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, none = set(), np.zeros(0, np.uint64)
         shingles, rank = known.value
         for rb in batches:
-            n, cls, keys = [], [], []
+            n, cls, keys, sigs = [], [], [], []
             for part in tk.rounds(rb.column("text")):
                 for s in tk.shingle_sets(part, words):
                     n.append(len(s))
@@ -131,7 +139,8 @@ def classes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int,
                     fresh = len(s) and cls[-1] not in seen
                     seen.add(cls[-1])
                     keys.append(_ordered(s, shingles, rank)[: prefix_length(len(s), percent)] if fresh else none)
-            yield pa.RecordBatch.from_pydict({"id": rb.column("id"), "n": pa.array(n, pa.int64()), "class": pa.array(cls, pa.int64()), "keys": _long_lists(keys)})
+                    sigs.append(signature(s).view(np.uint64) if fresh else none)
+            yield pa.RecordBatch.from_pydict({"id": rb.column("id"), "n": pa.array(n, pa.int64()), "class": pa.array(cls, pa.int64()), "keys": _long_lists(keys), "sig": _long_lists(sigs)})
 
     return docs.select("id", "text").mapInArrow(made, schema)
 
@@ -184,8 +193,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 BLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "class", "n", "hub", "low")])
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(class, n, sig, shingles) of the documents whose ids are needed, read again from their texts.
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, text) of the documents whose ids are needed; a text repeated under its id once a task.
 
     The filter over the needed ids is a bit table of fixed size; an id that it
     lets pass by chance only makes a row that no pair asks for.
@@ -201,66 +210,77 @@ def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
         table[word] = value
     passing = spark.sparkContext.broadcast(table)
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for rb in batches:
             where = rb.column("at").to_numpy()
             rb = rb.filter(pa.array((passing.value[where >> 6] >> (where & 63)) & 1 == 1))
-            for part in tk.rounds(rb.column("text")):
-                sets = [s for s in tk.shingle_sets(part, words) if len(s)]
-                yield pa.RecordBatch.from_pydict({"class": pa.array([class_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": _long_lists([signature(s).view(np.uint64) for s in sets]), "shingles": _long_lists(sets)})
+            fresh = []
+            for row in zip(rb.column("id").to_pylist(), rb.column("mark").to_pylist()):
+                fresh.append(row not in seen)
+                seen.add(row)
+            yield rb.select(["id", "text"]).filter(pa.array(fresh, pa.bool_()))
 
-    lists = T.ArrayType(T.LongType())
-    return docs.select("id", "text", at.alias("at")).mapInArrow(made, T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", lists), T.StructField("shingles", lists)]))
+    rows = docs.select("id", "text", at.alias("at"), F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(passed, docs.select("id", "text").schema)
 
 
 def _enough(overlap, sizes, percent: int):
     return overlap * 100 >= (sizes - overlap) * percent
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b), those that link: by sizes, then by the bitmaps' bound, then by the sets themselves."""
+def verified(pairs: DataFrame, docs: DataFrame, classes_: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Of the pairs (a, b), those that link: by sizes, then by the bitmaps' bound, then by the sets themselves.
+
+    ``classes_`` has each class's id, n and sig.  Texts are what goes to the
+    pairs, as they are smaller than their sets of hashes.
+    """
     pairs = pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sigs = sets.select("class", "n", "sig").dropDuplicates(["class"])
+    sigs = classes_.select("class", "n", "sig")
     one, two = sigs.toDF("a", "na", "sa"), sigs.toDF("b", "nb", "sb")
     alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0).cast("int"), lambda s, v: s + v)
-    bound = F.least(F.col("na") - alone("sa", "sb"), F.col("nb") - alone("sb", "sa"))
-    left = pairs.join(one, "a").join(two, "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & _enough(bound, F.col("na") + F.col("nb"), percent)).select("a", "b")
-    # a set goes to the cells of its partners; a partner of very many is dealt to several cells
+    # sizes that can link differ by less than twice, and so do their bitmaps' lengths
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
+    bound = F.least(F.col("na") - alone(fold("sa", "sb"), fold("sb", "sa")), F.col("nb") - alone(fold("sb", "sa"), fold("sa", "sb")))
+    near = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    left = near.filter(_enough(bound, F.col("na") + F.col("nb"), percent)).select("a", "b")
     left = written(left, f"{name}-bounded")
-    load = left.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select("a", F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
+    # a text goes to the cells of its partners; a partner of very many is dealt to several cells
+    load = left.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
     members = left.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("cell"), F.lit(1).alias("role"))
     heads = load.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("role"))
-    rows = members.union(heads).join(sets.select(F.col("class").alias("b"), "shingles"), "b")
+    wanted = written(members.union(heads).join(classes_.select(F.col("class").alias("b"), "id"), "b"), f"{name}-wanted")
+    rows = wanted.join(texts_of(docs, wanted.select("id").distinct()), "id")
 
     def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, None
         for rb in batches:
             a, b, role = (rb.column(c).to_numpy() for c in ("a", "b", "role"))
-            lists = rb.column("shingles")
-            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             keep = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                s = flat[ends[i] : ends[i + 1]]
-                if role[i] == 0:
-                    head, own = a[i], s.copy()
-                elif head == a[i]:
-                    at = np.searchsorted(own, s)
-                    same = int((own[np.minimum(at, len(own) - 1)] == s).sum())
-                    keep[i] = _enough(same, len(own) + len(s), percent)
+            for part in tk.rounds(rb.column("text")):
+                for i, s in enumerate(tk.shingle_sets(part, words), part.rows.start):
+                    if not len(s) or class_id(s) != b[i]:  # another text under the same id
+                        continue
+                    if role[i] == 0:
+                        head, own = a[i], s
+                    elif head == a[i]:
+                        at = np.searchsorted(own, s)
+                        same = int((own[np.minimum(at, len(own) - 1)] == s).sum())
+                        keep[i] = _enough(same, len(own) + len(s), percent)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
-    links = rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "role").select("a", "b", "role", "shingles")
+    links = rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "role").select("a", "b", "role", "text")
     return links.mapInArrow(intersected, "a long, b long").distinct()
 
 
-def _cells(rows: DataFrame, percent: int) -> DataFrame:
+def _cells(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups within tiles (block and size band), both the band's own and with the band below,
-    whose bitmaps leave a link possible.  Rows: key, class, n, component, sig."""
+    whose bitmaps leave a link possible.  Rows: key, class, n, component; bitmaps join them last."""
     width = math.log(100 / percent)
     banded = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width) + F.lit(1e-9)))
     homes = banded.select("*", F.col("band").alias("tile"))
     visits = banded.select("*", (F.col("band") + 1).alias("tile"))
-    load = homes.union(visits).groupBy("key", "tile").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("grid"), F.max(F.col("band") == F.col("tile")).alias("has_home")).filter("has_home")
+    load = homes.union(visits).groupBy("key", "tile").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("grid"), F.max(F.col("band") == F.col("tile")).alias("has_home"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("has_home and lo < hi").drop("lo", "hi")
     dealt = homes.union(visits).join(load, ["key", "tile"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("grid")).cast("int"))
     # every two parts of a tile meet in the cell of (smaller, larger)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1))).withColumns({"row": F.least("part", "other"), "col": F.greatest("part", "other")})
@@ -270,7 +290,8 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
 
         def pairs_of() -> Iterator[pa.RecordBatch]:
             cls, n, comp, home, part, sig = (np.concatenate(x) for x in zip(*held))
-            sig = sig.view(np.uint64).reshape(len(cls), SIGNATURE)
+            width = min(map(len, sig))
+            sig = np.stack([np.bitwise_or.reduce(x.view(np.uint64).reshape(-1, width), 0) for x in sig])
             row, col = cell[2], cell[3]
             for i in np.flatnonzero(home):
                 cand = np.flatnonzero((comp != comp[i]) & (~home | (cls > cls[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & ((part == row) & (part[i] == col) | (part == col) & (part[i] == row)))
@@ -284,7 +305,10 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
         for rb in batches:
             ids = [rb.column(c).to_numpy() for c in ("key", "tile", "row", "col")]
             edge = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            sig = rb.column("sig").flatten().to_numpy().reshape(rb.num_rows, SIGNATURE)
+            lists = rb.column("sig")
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            sig = np.empty(rb.num_rows, object)
+            sig[:] = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
             cols = [*(rb.column(c).to_numpy() for c in ("class", "n", "component")), rb.column("home").to_numpy(zero_copy_only=False), rb.column("part").to_numpy(), sig]
             for a, b in zip([0, *edge], [*edge, rb.num_rows]):
                 now = tuple(int(x[a]) for x in ids)
@@ -296,7 +320,7 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from pairs_of()
 
-    sent = dealt.select("key", "tile", "row", "col", "class", "n", "component", (F.col("band") == F.col("tile")).alias("home"), "part", "sig")
+    sent = dealt.select("key", "tile", "row", "col", "class", "n", "component", (F.col("band") == F.col("tile")).alias("home"), "part").join(sigs, "class")
     return sent.repartition("key", "tile", "row", "col").sortWithinPartitions("key", "tile", "row", "col").mapInArrow(paired, "a long, b long").distinct()
 
 
@@ -322,11 +346,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     blocks = written(blocks, "blocks")
 
     reps = members.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"))
-    needed = reps.join(blocks.select("class").distinct(), "class", "left_semi").select("id")
-    sets = written(sets_of(own, needed, words), "sets")
+    # what the pairs of the three rounds ask of a class, for those in some block; copies in other tasks have the same bitmap
+    met = blocks.select("class", "n").distinct().join(reps, "class")
+    sigs = members.filter(F.size("sig") > 0).select("class", "sig")
+    known = written(met.join(sigs, "class").dropDuplicates(["class"]), "known")
 
     stars = blocks.select(F.col("hub").alias("a"), F.col("class").alias("b")).union(blocks.select(F.col("low").alias("a"), F.col("class").alias("b")).filter("a != b")).distinct()
-    links = written(verified(stars, sets, percent, "stars"), "links")
+    links = written(verified(stars, own, known, words, percent, "stars"), "links")
     joined = components(links)
 
     # second round: a member of each group against one of the block's first group
@@ -334,13 +360,18 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     if not mixed.isEmpty():
         each = mixed.groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("key", "class").alias("h"), "class")).alias("m")).select("key", "component", F.col("m.class").alias("class"))
         first = each.groupBy("key").agg(F.min(F.struct("component", "class")).alias("f")).select("key", F.col("f.class").alias("a"))
-        links = links.union(verified(each.join(first, "key").select("a", F.col("class").alias("b")), sets, percent, "second"))
+        links = links.union(verified(each.join(first, "key").select("a", F.col("class").alias("b")), own, known, words, percent, "second"))
         links = written(links, "links")
         joined = components(links)
         mixed = written(_mixed(mixed, joined), "mixed")
     if not mixed.isEmpty():
-        rows = mixed.join(sets.select("class", "sig").dropDuplicates(["class"]), "class")
-        links = written(links.union(verified(_cells(rows, percent), sets, percent, "rest")), "links")
+        sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        few = mixed.join(sizes.filter(F.col("m") <= SMALL).select("key"), "key")
+        one, two = few.toDF("key", "a", "na", "ca"), few.toDF("key", "b", "nb", "cb")
+        pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b")
+        many = mixed.join(sizes.filter(F.col("m") > SMALL).select("key"), "key")
+        pairs = pairs.union(_cells(many.select("key", "class", "n", "component"), known.select("class", "sig"), percent))
+        links = written(links.union(verified(pairs, own, known, words, percent, "rest")), "links")
         joined = components(links)
 
     # names: the smallest id of each component, by class; empty sets stay alone
@@ -355,7 +386,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without words, or with a null id, stay as they are.
     """
-    found = groups(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    found = groups(docs, id_col=id_col, text_col=text_col, words=words, percent=percent).filter(F.col("n_shingles") > 0).select(F.col(id_col).alias("__id"), "component_id")
+    found = written(found.filter(F.col("__id").isNotNull()), "groups")
+    gone = found.filter(F.col("component_id") < F.col("__id")).select("__id").distinct()
+    again = found.groupBy("__id").count().filter("count > 1").select("__id")
+    small = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda df: df)
+    kept = docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    if not again.isEmpty():
+        small = F.broadcast if again.count() <= BROADCAST_IDS else (lambda df: df)
+        match = F.col(f"`{id_col}`") == F.col("__id")
+        once = kept.join(small(again), match, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(small(again), match, "left_anti").unionByName(once)
+    return kept.select(*own)
