@@ -19,13 +19,16 @@ def series_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(spark, sf_dir).unpivot(["month"], ["n_orders", "revenue"], "series", "value")
 
 
-ALL = Window.partitionBy(F.lit(1))
+def _all():
+    """All of a few dozen aggregated rows."""
+    return Window.partitionBy(F.lit(1))
+
 
 
 def scale_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places between least and most in parts per million."""
     m = monthly(spark, sf_dir)
-    lo, hi = F.min("n_orders").over(ALL), F.max("n_orders").over(ALL)
+    lo, hi = F.min("n_orders").over(_all()), F.max("n_orders").over(_all())
     return m.select("month", F.floor((F.col("n_orders") - lo) * 1000000 / F.greatest(hi - lo, F.lit(1))).cast("long").alias("place_ppm"))
 
 
@@ -36,7 +39,7 @@ def linear_ticks(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
 
 def scale_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = monthly(spark, sf_dir).filter("revenue > 0")
-    lo, hi = F.ln(F.min("revenue").over(ALL).cast("double")), F.ln(F.max("revenue").over(ALL).cast("double"))
+    lo, hi = F.ln(F.min("revenue").over(_all()).cast("double")), F.ln(F.max("revenue").over(_all()).cast("double"))
     return m.select("month", F.round((F.ln(F.col("revenue").cast("double")) - lo) / (hi - lo), 6).alias("place"))
 
 
@@ -44,12 +47,12 @@ def scale_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories in order of first appearance, centres at (2 i + 1) / (2 n)."""
     c = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("first_key"))
     i = F.row_number().over(Window.orderBy("first_key")) - 1
-    return c.select("p_brand", i.cast("long").alias("i"), F.count(F.lit(1)).over(ALL).alias("n")).select("p_brand", "i", F.floor((2 * F.col("i") + 1) * 1000000 / (2 * F.col("n"))).cast("long").alias("centre_ppm"))
+    return c.select("p_brand", i.cast("long").alias("i"), F.count(F.lit(1)).over(_all()).alias("n")).select("p_brand", "i", F.floor((2 * F.col("i") + 1) * 1000000 / (2 * F.col("n"))).cast("long").alias("centre_ppm"))
 
 
 def scale_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = monthly(spark, sf_dir)
-    lo, hi = F.min("month").over(ALL), F.max("month").over(ALL)
+    lo, hi = F.min("month").over(_all()), F.max("month").over(_all())
     return m.select("month", F.floor(F.datediff("month", lo).cast("long") * 1000000 / F.datediff(hi, lo)).cast("long").alias("place_ppm"))
 
 
@@ -62,8 +65,8 @@ def date_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bar_layout(spark: SparkSession, sf_dir: str, width: int = 1200000, height: int = 400000) -> DataFrame:
     """Slots of equal width, and bars from the baseline at the place of 0, in whole units."""
     m = monthly(spark, sf_dir)
-    i, n = F.row_number().over(Window.orderBy("month")) - 1, F.count(F.lit(1)).over(ALL)
-    top = F.greatest(F.max("n_orders").over(ALL), F.lit(0))
+    i, n = F.row_number().over(Window.orderBy("month")) - 1, F.count(F.lit(1)).over(_all())
+    top = F.greatest(F.max("n_orders").over(_all()), F.lit(0))
     return m.select("month", F.floor(i * width / n).cast("long").alias("x"), F.floor(F.lit(width) / n).cast("long").alias("slot"), F.floor(F.col("n_orders") * height / top).cast("long").alias("bar"))
 
 
@@ -82,7 +85,9 @@ def asof_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
-BY_TIME = Window.partitionBy("user_id").orderBy("t", "event_id")
+def _by_time():
+    return Window.partitionBy("user_id").orderBy("t", "event_id")
+
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,22 +109,22 @@ def keyframe_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hold_last_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values under a bound are not usable; the last usable one stands in."""
-    back = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    back = _by_time().rowsBetween(Window.unboundedPreceding, 0)
     return _signal(spark, sf_dir).select("event_id", F.last(F.when(F.col("v") >= 20, F.col("v")), ignorenulls=True).over(back).alias("held"))
 
 
 def ramp_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice the area under the line through a user's samples up to each of them."""
     s = _signal(spark, sf_dir)
-    area = F.coalesce((F.col("v") + F.lag("v").over(BY_TIME)) * (F.col("t") - F.lag("t").over(BY_TIME)), F.lit(0))
-    return s.withColumn("area", area).select("event_id", F.sum("area").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)).alias("area2"))
+    area = F.coalesce((F.col("v") + F.lag("v").over(_by_time())) * (F.col("t") - F.lag("t").over(_by_time())), F.lit(0))
+    return s.withColumn("area", area).select("event_id", F.sum("area").over(_by_time().rowsBetween(Window.unboundedPreceding, 0)).alias("area2"))
 
 
 def tempo_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats before each sample when every value is the tempo from there on, times 60."""
     s = _signal(spark, sf_dir)
-    beats = F.col("v") * (F.lead("t").over(BY_TIME) - F.col("t"))
-    return s.withColumn("b", beats).select("event_id", F.coalesce(F.sum("b").over(BY_TIME.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beats60"))
+    beats = F.col("v") * (F.lead("t").over(_by_time()) - F.col("t"))
+    return s.withColumn("b", beats).select("event_id", F.coalesce(F.sum("b").over(_by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beats60"))
 
 
 QUERIES = {f.__name__: f for f in (series_long, scale_linear, linear_ticks, scale_log, scale_categorical, scale_date, date_ticks, bar_layout, number_format, asof_step, keyframe_linear, hold_last_usable, ramp_integral, tempo_beats)}

@@ -65,14 +65,16 @@ def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucketed_overlap(points, b, 8).select("a_id", "b_id")
 
 
-TRACK = Window.partitionBy("track").orderBy("ord")
+def _by_track():
+    return Window.partitionBy("track").orderBy("ord")
+
 
 
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as one contiguous track: track, ord (from 1), start, dur (whole), end and total."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("track"), F.row_number().over(order).cast("long").alias("ord"), F.col("l_quantity").cast("long").alias("dur"))
-    rows = rows.withColumn("start", F.coalesce(F.sum("dur").over(TRACK.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("start", F.coalesce(F.sum("dur").over(_by_track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.withColumns({"end": F.col("start") + F.col("dur"), "total": F.sum("dur").over(Window.partitionBy("track"))})
 
 
@@ -84,16 +86,27 @@ def split_at(rows: DataFrame, *at: Column) -> DataFrame:
     return parts.select("track", "ord", "total", F.col("_p.s").alias("start"), F.col("_p.e").alias("end"), (F.col("_p.s") - F.col("start")).alias("src"))
 
 
-LO, HI = F.lit(10), F.lit(40)
+#: The range of the edits.
+FROM, TO = 10, 40
+
+
+def _lo() -> Column:
+    return F.lit(FROM)
+
+
+def _hi() -> Column:
+    return F.lit(TO)
+
+
 _OUT = ("track", "ord", "start", "end", "src")
 
 
 def edit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_at(track(spark, sf_dir), LO).select(*_OUT)
+    return split_at(track(spark, sf_dir), _lo()).select(*_OUT)
 
 
 def _inside() -> Column:
-    return (F.col("start") >= LO) & (F.col("end") <= HI)
+    return (F.col("start") >= _lo()) & (F.col("end") <= _hi())
 
 
 def _gaps(parts: DataFrame, gap: Column) -> DataFrame:
@@ -107,35 +120,35 @@ def _gaps(parts: DataFrame, gap: Column) -> DataFrame:
 
 def edit_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range stays, all else becomes gaps."""
-    return _gaps(split_at(track(spark, sf_dir), LO, HI), ~_inside())
+    return _gaps(split_at(track(spark, sf_dir), _lo(), _hi()), ~_inside())
 
 
 def edit_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range becomes a gap in its place."""
-    return _gaps(split_at(track(spark, sf_dir), LO, HI), _inside())
+    return _gaps(split_at(track(spark, sf_dir), _lo(), _hi()), _inside())
 
 
 def edit_ripple_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range goes, what follows moves left, and a gap of the same length ends the track."""
-    rows = split_at(track(spark, sf_dir), LO, HI).filter(~_inside())
-    cut = F.greatest(F.least(HI, F.col("total")) - LO, F.lit(0))
-    moved = rows.select("track", "ord", F.when(F.col("start") >= HI, F.col("start") - cut).otherwise(F.col("start")).alias("start"), F.when(F.col("start") >= HI, F.col("end") - cut).otherwise(F.col("end")).alias("end"), "src")
+    rows = split_at(track(spark, sf_dir), _lo(), _hi()).filter(~_inside())
+    cut = F.greatest(F.least(_hi(), F.col("total")) - _lo(), F.lit(0))
+    moved = rows.select("track", "ord", F.when(F.col("start") >= _hi(), F.col("start") - cut).otherwise(F.col("start")).alias("start"), F.when(F.col("start") >= _hi(), F.col("end") - cut).otherwise(F.col("end")).alias("end"), "src")
     tails = track(spark, sf_dir).filter("ord = 1").withColumn("cut", cut).filter("cut > 0")
     return moved.unionByName(tails.select("track", F.lit(0).cast("long").alias("ord"), (F.col("total") - F.col("cut")).alias("start"), F.col("total").alias("end"), F.lit(0).cast("long").alias("src")))
 
 
 def edit_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item of 7 enters at 10 and what follows moves right."""
-    rows = split_at(track(spark, sf_dir).filter("total > 10"), LO)
-    move = F.when(F.col("start") >= LO, 7).otherwise(0)
-    new = track(spark, sf_dir).filter("ord = 1 and total > 10").select("track", F.lit(-1).cast("long").alias("ord"), LO.cast("long").alias("start"), F.lit(17).cast("long").alias("end"), F.lit(0).cast("long").alias("src"))
+    rows = split_at(track(spark, sf_dir).filter("total > 10"), _lo())
+    move = F.when(F.col("start") >= _lo(), 7).otherwise(0)
+    new = track(spark, sf_dir).filter("ord = 1 and total > 10").select("track", F.lit(-1).cast("long").alias("ord"), _lo().cast("long").alias("start"), F.lit(17).cast("long").alias("end"), F.lit(0).cast("long").alias("src"))
     return rows.select("track", "ord", (F.col("start") + move).alias("start"), (F.col("end") + move).alias("end"), "src").unionByName(new)
 
 
 def edit_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item takes the place of what lies in the range; tracks must reach it."""
-    rows = split_at(track(spark, sf_dir).filter("total >= 40"), LO, HI).filter(~_inside()).select(*_OUT)
-    new = track(spark, sf_dir).filter("ord = 1 and total >= 40").select("track", F.lit(-1).cast("long").alias("ord"), LO.cast("long").alias("start"), HI.cast("long").alias("end"), F.lit(0).cast("long").alias("src"))
+    rows = split_at(track(spark, sf_dir).filter("total >= 40"), _lo(), _hi()).filter(~_inside()).select(*_OUT)
+    new = track(spark, sf_dir).filter("ord = 1 and total >= 40").select("track", F.lit(-1).cast("long").alias("ord"), _lo().cast("long").alias("start"), _hi().cast("long").alias("end"), F.lit(0).cast("long").alias("src"))
     return rows.unionByName(new)
 
 

@@ -13,13 +13,16 @@ from lattica.functions import round_half_up
 from lattica.sources import read
 
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
-BY_TIME = Window.partitionBy("user_id").orderBy("ts")
+def _by_time():
+    """Each user's samples in order of time."""
+    return Window.partitionBy("user_id").orderBy("ts")
+
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, i (from 0), n, t in microseconds and v, the value in whole hundredths."""
     df = read(spark, sf_dir, "events")
-    return df.select("user_id", "ts", F.expr(MICROS).alias("t"), F.round(F.col("value") * 100).cast("long").alias("v")).withColumns({"i": (F.row_number().over(BY_TIME) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy("user_id"))})
+    return df.select("user_id", "ts", F.expr(MICROS).alias("t"), F.round(F.col("value") * 100).cast("long").alias("v")).withColumns({"i": (F.row_number().over(_by_time()) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy("user_id"))})
 
 
 def hop_windows(spark: SparkSession, sf_dir: str, width: int = 8, hop: int = 4) -> DataFrame:
@@ -39,7 +42,7 @@ def section_rms(spark: SparkSession, sf_dir: str, sections: int = 8) -> DataFram
 
 def onset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rises against the sample before, and their share of the user's largest in parts per million."""
-    s = samples(spark, sf_dir).withColumn("onset", F.greatest(F.lit(0), F.col("v") - F.coalesce(F.lag("v").over(BY_TIME), F.lit(0))))
+    s = samples(spark, sf_dir).withColumn("onset", F.greatest(F.lit(0), F.col("v") - F.coalesce(F.lag("v").over(_by_time()), F.lit(0))))
     most = F.max("onset").over(Window.partitionBy("user_id"))
     return s.select("user_id", "i", "onset", F.when(most > 0, F.floor(F.col("onset") * 1000000 / most)).otherwise(0).cast("long").alias("onset_ppm"))
 
@@ -47,14 +50,14 @@ def onset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silence_islands(spark: SparkSession, sf_dir: str, threshold: int = 3000) -> DataFrame:
     """Runs of samples at or below a threshold."""
     s = samples(spark, sf_dir).withColumn("quiet", F.col("v") <= threshold)
-    s = s.withColumn("change", F.when(F.col("quiet") != F.coalesce(F.lag("quiet").over(BY_TIME), ~F.col("quiet")), 1).otherwise(0))
-    s = s.withColumn("run", F.sum("change").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))).filter("quiet")
+    s = s.withColumn("change", F.when(F.col("quiet") != F.coalesce(F.lag("quiet").over(_by_time()), ~F.col("quiet")), 1).otherwise(0))
+    s = s.withColumn("run", F.sum("change").over(_by_time().rowsBetween(Window.unboundedPreceding, 0))).filter("quiet")
     return s.groupBy("user_id", "run").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.min("t").alias("start"), F.max("t").alias("end")).drop("run")
 
 
 def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps between neighbours of an hour or more, by class."""
-    s = samples(spark, sf_dir).withColumn("gap", F.lead("t").over(BY_TIME) - F.col("t")).filter(F.col("gap") >= 3600000000)
+    s = samples(spark, sf_dir).withColumn("gap", F.lead("t").over(_by_time()) - F.col("t")).filter(F.col("gap") >= 3600000000)
     kind = F.when(F.col("gap") < 14400000000, "short").when(F.col("gap") < 43200000000, "medium").otherwise("long")
     order = Window.partitionBy("user_id").orderBy("t")
     return s.select("user_id", "t", "gap", kind.alias("kind")).withColumn("id", F.format_string("pause.%06d", F.row_number().over(order)))
@@ -91,7 +94,7 @@ def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_events(spark: SparkSession, sf_dir: str, step: int = 1000) -> DataFrame:
     """Quantised values where they differ from the one before (0 at first), and a closing zero."""
     s = samples(spark, sf_dir).withColumn("level", F.floor(F.col("v") / step))
-    moved = s.withColumn("was", F.coalesce(F.lag("level").over(BY_TIME), F.lit(0))).filter("level <> was")
+    moved = s.withColumn("was", F.coalesce(F.lag("level").over(_by_time()), F.lit(0))).filter("level <> was")
     last = s.filter("i = n - 1 and level <> 0").select("user_id", F.col("n").alias("i"), F.lit(0).cast("long").alias("level"))
     return moved.select("user_id", "i", "level").unionByName(last)
 
@@ -107,7 +110,7 @@ def envelope_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 def autocorr(spark: SparkSession, sf_dir: str, lags: int = 4) -> DataFrame:
     """Products of samples with those some places earlier, by lag; each lag is a window column, so one shuffle serves all."""
     s = samples(spark, sf_dir)
-    s = s.select("user_id", "v", *[F.lag("v", k).over(BY_TIME).alias(f"v{k}") for k in range(1, lags + 1)])
+    s = s.select("user_id", "v", *[F.lag("v", k).over(_by_time()).alias(f"v{k}") for k in range(1, lags + 1)])
     sums = s.groupBy("user_id").agg(*[F.sum(F.col("v") * F.col(f"v{k}")).alias(str(k)) for k in range(1, lags + 1)])
     return sums.unpivot(["user_id"], [str(k) for k in range(1, lags + 1)], "lag", "product").withColumn("lag", F.col("lag").cast("long")).filter("product is not null")
 
@@ -115,7 +118,7 @@ def autocorr(spark: SparkSession, sf_dir: str, lags: int = 4) -> DataFrame:
 def fir_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed filter of four taps, zeros before the first sample."""
     taps = (3, 2, 2, 1)
-    y = sum((F.coalesce(F.lag("v", k).over(BY_TIME), F.lit(0)) * c for k, c in enumerate(taps) if k), F.col("v") * taps[0])
+    y = sum((F.coalesce(F.lag("v", k).over(_by_time()), F.lit(0)) * c for k, c in enumerate(taps) if k), F.col("v") * taps[0])
     return samples(spark, sf_dir).select("user_id", "i", y.alias("y"))
 
 
