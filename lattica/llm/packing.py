@@ -119,7 +119,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         starts.append((length, at))
         at += lengths[length]
     starts = spark.createDataFrame(starts, "last long, length_base long")
-    bases = F.broadcast(full_bases.join(F.broadcast(starts), "last").select("last", "bucket", "rank_base", (F.col("full_base") + F.col("length_base")).alias("full_base")))
+    # a row for each length and bucket, so it grows with the documents: no broadcast is asked for
+    bases = full_bases.join(F.broadcast(starts), "last").select("last", "bucket", "rank_base", (F.col("full_base") + F.col("length_base")).alias("full_base"))
 
     order = Window.partitionBy("last", "bucket").orderBy("doc_id", "doc_tokens", "crcs")
     ranked = (

@@ -147,10 +147,11 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 300, l2: floa
         rate = with_word / y.sum() - (p * n - with_word) / (n - y.sum())
         use = np.abs(rate) >= LEAST_Z * np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / y.sum() + 1 / (n - y.sum())))
         use[: MEASURES * BARS] = True
+        r, c = rows[use[cols]], cols[use[cols]]
         w, b, first, second, bias = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0
         for step in range(1, rounds + 1):
-            p = 1 / (1 + np.exp(-(prior + b + np.bincount(rows, w[cols], n))))
-            g = (np.bincount(cols, (y - p)[rows], width) - l2 * w) * use
+            p = 1 / (1 + np.exp(-(prior + b + np.bincount(r, w[c], n))))
+            g = np.bincount(c, (y - p)[r], width) - l2 * w
             bias = 0.9 * bias + 0.1 * (y - p).mean()
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
