@@ -30,6 +30,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.shared import let
+
 # fixed values: notices by license, in the wording of their authors
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -77,11 +79,6 @@ def anchors(texts: list[str], percent: int = PERCENT) -> list[str]:
     return [w for w in chosen if not any(v != w and v in w for v in chosen)]
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: as a lambda's variable it can't be copied into inner lambdas."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _hashes(words: Column) -> Column:
     """Shingle hashes of a word array; empty if it is too short."""
 
@@ -89,18 +86,18 @@ def _hashes(words: Column) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - WORDS + 1, F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at(w, i + k) for k in range(WORDS)]))
         return F.when(F.size(w) >= WORDS, every).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(words, made)
+    return let(words, made)
 
 
 def _marks(every: Column, known: Column) -> Column:
     """Positions of the shingles that some template has."""
     at = lambda x, shared: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.array_contains(shared, F.get(x, i)))
     held = lambda x, shared: F.when(F.size(shared) > 0, at(x, shared)).otherwise(F.array().cast("array<int>"))
-    return _let(every, lambda x: _let(F.array_intersect(x, known), lambda shared: held(x, shared)))
+    return let(every, lambda x: let(F.array_intersect(x, known), lambda shared: held(x, shared)))
 
 
 def _minima(window: Column) -> Column:
-    return _let(window, lambda w: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.array_min(F.transform(w, lambda h: F.xxhash64(h, i)))))
+    return let(window, lambda w: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.array_min(F.transform(w, lambda h: F.xxhash64(h, i)))))
 
 
 def _span(size: int) -> int:
@@ -129,7 +126,7 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *,
     near = own.filter(F.exists(F.array(*map(F.lit, words_needed)), lambda w: F.contains(F.col("low"), w)))
     lookup = F.array(*map(F.lit, known)).cast("array<bigint>")
     words = F.regexp_extract_all("low", F.lit(WORD), F.lit(0))
-    cut = _let(_hashes(words), lambda every: F.struct(every.alias("all"), _marks(every, lookup).alias("marks")))
+    cut = let(_hashes(words), lambda every: F.struct(every.alias("all"), _marks(every, lookup).alias("marks")))
     # explode() also keeps the arrays from being computed again where later lambdas use them
     marked = near.select("id", F.explode(F.array(cut)).alias("cut")).filter(F.size("cut.marks") > 0).select("id", "cut.all", "cut.marks")
     sized = marked.select("id", "all", "marks", F.explode(F.array(*map(F.lit, spans))).alias("span"))

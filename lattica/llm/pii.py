@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.shared import let
+
 # fixed values: the formats, by kind; none begins or ends inside a longer word or number
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -69,13 +71,13 @@ def _char(c: Column, base: str, size: int, k: Column) -> Column:
 
 
 def _shifted(s: Column, noise: Column) -> Column:
-    """Each digit or ASCII letter moved within its kind by two hexadecimal digits of noise (64 of them, used in turn)."""
+    """Each digit or ASCII letter moved within its kind by three hexadecimal digits of noise (60 of them, used in turn)."""
 
-    def moved(i: Column) -> Column:
-        c, k = F.substr(s, i, F.lit(1)), _number(F.substr(noise, F.pmod(i - 1, F.lit(20)) * 3 + 1, F.lit(3)))
+    def moved(i: Column, n: Column) -> Column:
+        c, k = F.substr(s, i, F.lit(1)), _number(F.substr(n, F.pmod(i - 1, F.lit(20)) * 3 + 1, F.lit(3)))
         return F.when(c.between("0", "9"), _char(c, "0", 10, k)).when(c.between("a", "z"), _char(c, "a", 26, k)).when(c.between("A", "Z"), _char(c, "A", 26, k)).otherwise(c)
 
-    return F.when(F.length(s) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), moved), ""))
+    return F.when(F.length(s) == 0, F.lit("")).otherwise(let(noise, lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: moved(i, n)), "")))
 
 
 def permuted_text(s: Column, key: str, kind: str) -> Column:
@@ -94,18 +96,18 @@ def _digits(s: Column) -> Column:
 def _refilled(s: Column, digits: Column) -> Column:
     """``s`` with its digits replaced by those of ``digits`` in order."""
     nth = lambda i: F.length(_digits(F.substr(s, F.lit(1), i)))
-    one = lambda i: F.when(F.substr(s, i, F.lit(1)).between("0", "9"), F.substr(digits, nth(i), F.lit(1))).otherwise(F.substr(s, i, F.lit(1)))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")
+    one = lambda i, d: F.when(F.substr(s, i, F.lit(1)).between("0", "9"), F.substr(d, nth(i), F.lit(1))).otherwise(F.substr(s, i, F.lit(1)))
+    return let(digits, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: one(i, d)), ""))
 
 
 def luhn_sum(d: Column, first_doubled: int) -> Column:
     """Luhn's sum of a digit string from its right end; ``first_doubled`` is the first place, from 0, that counts double."""
 
-    def add(total: Column, i: Column) -> Column:
-        v = F.substr(d, F.length(d) - i, F.lit(1)).cast("int")
+    def add(total: Column, i: Column, x: Column) -> Column:
+        v = F.substr(x, F.length(x) - i, F.lit(1)).cast("int")
         return total + F.when(F.pmod(i, F.lit(2)) == first_doubled, v * 2 - F.when(v > 4, 9).otherwise(0)).otherwise(v)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), add)
+    return let(d, lambda x: F.aggregate(F.sequence(F.lit(0), F.length(x) - 1), F.lit(0), lambda total, i: add(total, i, x)))
 
 
 def is_card(s: Column) -> Column:
@@ -114,18 +116,18 @@ def is_card(s: Column) -> Column:
 
 def card(s: Column, key: str) -> Column:
     d = _digits(s)
-    body = permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-    return _refilled(s, F.concat(body, F.pmod(F.lit(10) - luhn_sum(body, 0) % 10, F.lit(10)).cast("string")))
+    whole = lambda body: F.concat(body, F.pmod(F.lit(10) - luhn_sum(body, 0) % 10, F.lit(10)).cast("string"))
+    return _refilled(s, let(permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), whole))
 
 
 def iban_rest(s: Column) -> Column:
     """The remainder by 97 of the number that letters and digits spell."""
 
-    def step(rest: Column, i: Column) -> Column:
-        c = F.substr(s, i, F.lit(1))
+    def step(rest: Column, i: Column, x: Column) -> Column:
+        c = F.substr(x, i, F.lit(1))
         return F.when(c.between("0", "9"), (rest * 10 + F.ascii(c) - 48) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), step)
+    return let(s, lambda x: F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0), lambda rest, i: step(rest, i, x)))
 
 
 def is_iban(s: Column) -> Column:
@@ -133,8 +135,9 @@ def is_iban(s: Column) -> Column:
 
 
 def iban(s: Column, key: str) -> Column:
-    land, body = F.substr(s, F.lit(1), F.lit(2)), permuted_text(F.substr(s, F.lit(5), F.length(s)), key, "iban")
-    return F.concat(land, F.lpad((F.lit(98) - iban_rest(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body)
+    land = F.substr(s, F.lit(1), F.lit(2))
+    whole = lambda body: F.concat(land, F.lpad((F.lit(98) - iban_rest(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body)
+    return let(permuted_text(F.substr(s, F.lit(5), F.length(s)), key, "iban"), whole)
 
 
 def _day(s: Column) -> tuple[Column, Column]:

@@ -153,7 +153,7 @@ def test_warc_round_trip_and_zip64(spark, tmp_path):
 
 
 def test_pii(spark):
-    rows = [(1, "card 4111 1111 1111 1111 or 4111111111111112, ip 10.0.0.1, 2024-02-30 2024-02-29"), (2, "same 4111 1111 1111 1111"), *EDGES]
+    rows = [(1, "card 4111 1111 1111 1111 or 4111111111111112, ip 10.0.0.1, 2024-02-30 2024-02-29"), (2, "same 4111 1111 1111 1111"), *EDGES[2:]]
     got = {r.doc_id: r for r in pii.report(docs(spark, rows), "k").collect()}
     card = re.search(r"(?:\d{4} ){3}\d{4}", got[1].text)[0]
     assert card in got[2].text and card != "4111 1111 1111 1111" and "4111111111111112" in got[1].text and "2024-02-30" in got[1].text
