@@ -31,12 +31,17 @@ def bucketed_overlap(a: DataFrame, b: DataFrame, width: int, *, touching: bool =
 DAY = "datediff(cast({} as date), date'1992-01-01')"
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as intervals of 3 to 12 days, and every 40th order as an interval of 5 days; both with a day's number."""
+def _all_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as intervals of 3 to 12 days, and all of them as intervals of 5 days; both with a day's number."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.expr(DAY.format("o_orderdate")).cast("long").alias("d"))
     a = o.select(F.col("k").alias("a_id"), F.col("d").alias("a_start"), (F.col("d") + 3 + F.col("k") % 10).alias("a_end"))
-    b = o.filter("k % 40 = 0").select(F.col("k").alias("b_id"), F.col("d").alias("b_start"), (F.col("d") + 5).alias("b_end"))
-    return a, b
+    return a, o.select(F.col("k").alias("b_id"), F.col("d").alias("b_start"), (F.col("d") + 5).alias("b_end"))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As ``_all_spans``, but of the right side only every 40th order: the sample that the SQL of these queries fixes."""
+    a, b = _all_spans(spark, sf_dir)
+    return a, b.filter("b_id % 40 = 0")
 
 
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +70,41 @@ def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucketed_overlap(points, b, 8).select("a_id", "b_id")
 
 
+def _all_pairs(a: DataFrame, b: DataFrame, where: str, *, touching: bool = False) -> DataFrame:
+    """Ids of all rows whose intervals meet: equal intervals are joined as one, so that each pair made is a pair reported."""
+    spans = bucketed_overlap(a.select("a_start", "a_end").distinct(), b.select("b_start", "b_end").distinct(), 8, touching=touching).filter(where)
+    return a.join(spans, ["a_start", "a_end"]).join(b, ["b_start", "b_end"]).select("a_id", "b_id")
+
+
+def interval_overlap_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of overlapping intervals, of all orders on both sides."""
+    return _all_pairs(*_all_spans(spark, sf_dir), "true")
+
+
+def interval_contained_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_pairs(*_all_spans(spark, sf_dir), "b_start <= a_start and a_end <= b_end")
+
+
+def interval_touches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_pairs(*_all_spans(spark, sf_dir), "a_start = b_end or b_start = a_end", touching=True)
+
+
+def weighted_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``weighted_overlap`` for all intervals: values are summed by equal spans first, so that no pair of rows is made."""
+    a, b = _all_spans(spark, sf_dir)
+    values = a.groupBy("a_start", "a_end").agg(F.sum(F.col("a_id") % 100).alias("value"))
+    over = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    sums = bucketed_overlap(values, b.select("b_start", "b_end").distinct(), 8).groupBy("b_start", "b_end").agg(F.sum(over * F.col("value")).alias("s"))
+    length = F.col("b_end") - F.col("b_start")
+    return b.join(sums, ["b_start", "b_end"]).select("b_id", F.floor((F.col("s") * 2 + length) / (length * 2)).cast("long").alias("mean"))
+
+
+def point_in_interval_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _all_spans(spark, sf_dir)
+    points = a.select("a_id", "a_start", (F.col("a_start") + 1).alias("a_end"))
+    return _all_pairs(points, b, "true")
+
+
 def _by_track():
     return Window.partitionBy("track").orderBy("ord")
 
@@ -243,7 +283,7 @@ def handle_clamp(spark: SparkSession, sf_dir: str, handle: int = 6, grid: int =
     return track(spark, sf_dir).select("track", "ord", ceil_to(F.greatest(F.col("start") - handle, F.lit(0)), grid).alias("start"), floor_to(F.least(F.col("end") + handle, F.col("total")), grid).alias("end"))
 
 
-QUERIES = {f.__name__: f for f in (interval_overlap_join, interval_contained, interval_touches, weighted_overlap, point_in_interval, edit_split, edit_trim, edit_lift, edit_ripple_delete, edit_insert, edit_overwrite, edit_slip, edit_slide, edit_boundary, no_gap_check, no_overlap_check, coverage_check, interval_subtract, sweep_segments, chunk_plan, sample_points, handle_clamp)}
+QUERIES = {f.__name__: f for f in (interval_overlap_join, interval_contained, interval_touches, weighted_overlap, point_in_interval, interval_overlap_join_all, interval_contained_all, interval_touches_all, weighted_overlap_all, point_in_interval_all, edit_split, edit_trim, edit_lift, edit_ripple_delete, edit_insert, edit_overwrite, edit_slip, edit_slide, edit_boundary, no_gap_check, no_overlap_check, coverage_check, interval_subtract, sweep_segments, chunk_plan, sample_points, handle_clamp)}
 
 _I = """o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS d, o_custkey FROM orders),
 a AS (SELECT k AS a_id, d AS a_start, d + 3 + k % 10 AS a_end FROM o), b AS (SELECT k AS b_id, d AS b_start, d + 5 AS b_end FROM o WHERE k % 40 = 0)"""
