@@ -94,11 +94,10 @@ def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_T).alias("t"), F.round("value").cast("long").alias("v"))
 
 
-def keyframe_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values at noon of each day between the samples beside it; held before the first and after the last."""
-    s = _signal(spark, sf_dir).select("user_id", "t", "v", "event_id", F.lit(0).alias("probe"))
-    users = s.select("user_id").distinct()
-    noons = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("day")).select("user_id", (F.col("day") * 86400 + 43200).cast("long").alias("t"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("probe"))
+def _at_noons(s: DataFrame, days: DataFrame) -> DataFrame:
+    """Values of a signal at noon of each (user_id, day) between the samples beside it; held before the first and after the last."""
+    s = s.select("user_id", "t", "v", "event_id", F.lit(0).alias("probe"))
+    noons = days.select("user_id", (F.col("day") * 86400 + 43200).cast("long").alias("t"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("probe"))
     order = Window.partitionBy("user_id").orderBy("t", "probe", "event_id")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     point = F.when(F.col("probe") == 0, F.struct("t", "v"))
@@ -107,6 +106,19 @@ def keyframe_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.select("user_id", "t", F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull(), F.col("a.v")).otherwise(between).alias("v"))
 
 
+def keyframe_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at noon of the 30 days from 2024-01-01 on, which the SQL of this query fixes."""
+    s = _signal(spark, sf_dir)
+    return _at_noons(s, s.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("day")))
+
+
+def keyframe_linear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at noon of each day from a user's first sample to the last."""
+    s = _signal(spark, sf_dir)
+    day = F.floor(F.col("t") / 86400)
+    return _at_noons(s, s.groupBy("user_id").agg(F.explode(F.sequence(F.min(day), F.max(day))).alias("day")))
+
+
 def hold_last_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values under a bound are not usable; the last usable one stands in."""
     back = _by_time().rowsBetween(Window.unboundedPreceding, 0)
@@ -127,7 +139,7 @@ def tempo_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("b", beats).select("event_id", F.coalesce(F.sum("b").over(_by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beats60"))
 
 
-QUERIES = {f.__name__: f for f in (series_long, scale_linear, linear_ticks, scale_log, scale_categorical, scale_date, date_ticks, bar_layout, number_format, asof_step, keyframe_linear, hold_last_usable, ramp_integral, tempo_beats)}
+QUERIES = {f.__name__: f for f in (series_long, scale_linear, linear_ticks, scale_log, scale_categorical, scale_date, date_ticks, bar_layout, number_format, asof_step, keyframe_linear, keyframe_linear_all, hold_last_usable, ramp_integral, tempo_beats)}
 
 _M = """m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n_orders, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS revenue FROM orders GROUP BY 1)"""
 _E = """s AS (SELECT user_id, event_id, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS t, CAST(round(value) AS BIGINT) AS v FROM events)"""

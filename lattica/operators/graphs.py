@@ -90,17 +90,37 @@ def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_path(edges(spark, sf_dir)).groupBy("rank").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-def expansion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits when every path is walked down from each node: 1 and those of all children, as sums along levels."""
-    graph = edges(spark, sf_dir)
-    nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct().filter("node <= 20")
-    walks, levels = _checkpointed(nodes.select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("paths"))), []
-    while not walks.isEmpty():
-        levels.append(walks)
-        walks = _checkpointed(walks.join(graph, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths")).select("root", "node", "paths"))
+def expansions(graph: DataFrame, alone: DataFrame | None = None) -> DataFrame:
+    """(root, visits) of every node when all paths are walked down from it: 1 and the visits of all children; raises for a cycle.
+
+    A level holds how many paths of its length begin at each node, got from the
+    children's of the level before, so one join and aggregate serves all nodes.
+    ``alone`` (root) may name nodes that no edge has.
+    """
+    nodes = graph.select(F.col("src").alias("root")).union(graph.select("dst"))
+    nodes = (nodes if alone is None else nodes.union(alone)).distinct()
+    front, n = _checkpointed(nodes.withColumn("paths", F.lit(1).cast("long"))), nodes.count()
+    levels = []
+    while not front.isEmpty():
+        levels.append(front)
+        if len(levels) > n:
+            raise ValueError("the graph has a cycle")
+        front = _checkpointed(graph.join(front, F.col("dst") == F.col("root")).groupBy(F.col("src").alias("root")).agg(F.sum("paths").alias("paths")))
+    if not levels:
+        return nodes.withColumn("visits", F.lit(1).cast("long"))
     return reduce(DataFrame.union, levels).groupBy("root").agg(F.sum("paths").alias("visits"))
 
 
+def expansion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``expansions`` of the nodes up to 20 alone, as the SQL of this query fixes."""
+    return expansions(edges(spark, sf_dir)).filter("root <= 20")
+
+
+def expansion_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``expansions`` of every part, also of those without edges."""
+    return expansions(edges(spark, sf_dir), read(spark, sf_dir, "part").select("p_partkey"))
+
+
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be reached from the sources 2 and 3, by whole frontiers."""
     graph = edges(spark, sf_dir)
@@ -130,7 +150,7 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", digest).join(manifest, "digest", "left").select("id", F.when(F.col("hit"), "hit").otherwise("miss").alias("state"))
 
 
-QUERIES = {f.__name__: f for f in (semantic_diff, field_diff, diff_summary, longest_path_rank, topo_levels, expansion_counts, reachability, merkle_hash, incremental_plan)}
+QUERIES = {f.__name__: f for f in (semantic_diff, field_diff, diff_summary, longest_path_rank, topo_levels, expansion_counts, expansion_counts_all, reachability, merkle_hash, incremental_plan)}
 
 _D = """a AS (SELECT o_orderkey AS id, o_orderstatus, o_orderpriority, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders),
 b AS (SELECT id, o_orderstatus, CASE WHEN id % 13 = 0 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN id % 11 = 0 THEN price + 1 ELSE price END AS price FROM a WHERE id % 17 <> 0 UNION ALL SELECT -id, o_orderstatus, o_orderpriority, price FROM a WHERE id % 19 = 0),

@@ -45,3 +45,31 @@ def test_weighted_overlap_of_all_intervals(spark, orders):
     path, a, b = orders
     sums = {k: sum(max(min(e, y) - max(s, x), 0) * (i % 100) for i, s, e in a) for k, x, y in b}
     assert rows("weighted_overlap_all", spark, path) == sorted((k, (2 * s + 5) // 10) for k, s in sums.items())
+
+
+def test_expansion_counts_of_all_nodes(spark, tmp_path):
+    path = stored(spark, tmp_path, part=spark.range(201).withColumnRenamed("id", "p_partkey"))
+    children = {}
+    for dst in range(2, 201):
+        for src in {dst // 2} | ({dst // 3} if dst > 2 else set()):
+            children.setdefault(src, []).append(dst)
+    visits = {}
+    for node in range(200, -1, -1):
+        visits[node] = 1 + sum(visits[c] for c in children.get(node, []))
+    assert rows("expansion_counts_all", spark, path) == sorted(visits.items()) and visits[0] == 1
+
+
+def test_expansion_of_a_cycle_is_refused(spark):
+    from lattica.operators import graphs
+
+    with pytest.raises(ValueError, match="cycle"):
+        graphs.expansions(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"))
+
+
+def test_keyframes_on_each_users_own_days(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    samples = [(1, 1, -30, 10.0), (2, 1, 12, 52.0), (3, 2, 24 * 40, 7.0), (4, 2, 24 * 42, 55.0)]
+    df = spark.createDataFrame([(i, u, at + datetime.timedelta(hours=h), v) for i, u, h, v in samples], "event_id long, user_id long, ts timestamp_ntz, value double")
+    noon = lambda d: d * 86400 + 43200
+    want = [(1, noon(-2), 10), (1, noon(-1), 28), (1, noon(0), 52), (2, noon(40), 19), (2, noon(41), 43), (2, noon(42), 55)]
+    assert rows("keyframe_linear_all", spark, stored(spark, tmp_path, events=df)) == want
