@@ -61,10 +61,19 @@ def vector_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def having_words(docs: DataFrame, *words: str) -> DataFrame:
     """Documents that have all of the words, in whole tokens."""
-    d = read(spark, sf_dir, "documents").filter("lang = 'en'")
-    return d.withColumn("t", tokens(F.col("text"))).filter(F.forall(F.array(F.lit("the"), F.lit("with"), F.lit("from")), lambda w: F.array_contains("t", w))).select("doc_id", F.size("t").cast("long").alias("n_tokens"))
+    return docs.withColumn("t", tokens(F.col("text"))).filter(F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains("t", w))).select("doc_id", F.size("t").cast("long").alias("n_tokens"))
+
+
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``having_words`` of the documents in English alone, as the SQL of this query fixes."""
+    return having_words(read(spark, sf_dir, "documents").filter("lang = 'en'"), "the", "with", "from")
+
+
+def lexical_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``having_words`` of all documents, whatever their language."""
+    return having_words(read(spark, sf_dir, "documents"), "the", "with", "from")
 
 
 def catalog_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ def transcript_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(all_turns, lambda x: x["text"]), " ").alias("joined"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_meanpool_by_label, vector_nms, lexical_search, catalog_tiers, evidence_search, rights_predicate, candidate_rank, levelling, transcript_range)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_meanpool_by_label, vector_nms, lexical_search, lexical_search_all, catalog_tiers, evidence_search, rights_predicate, candidate_rank, levelling, transcript_range)}
 
 _V = """q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, label, CAST(floor(round(greatest(-1, least(1, list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q) / (sqrt(list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_inner_product(q, q))))), 9) * 1e6 + 0.5) AS BIGINT) AS score_ppm FROM embeddings, q)"""

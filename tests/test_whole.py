@@ -73,3 +73,8 @@ def test_keyframes_on_each_users_own_days(spark, tmp_path):
     noon = lambda d: d * 86400 + 43200
     want = [(1, noon(-2), 10), (1, noon(-1), 28), (1, noon(0), 52), (2, noon(40), 19), (2, noon(41), 43), (2, noon(42), 55)]
     assert rows("keyframe_linear_all", spark, stored(spark, tmp_path, events=df)) == want
+
+
+def test_search_in_all_languages(spark, tmp_path):
+    df = spark.createDataFrame([(1, "From the start, with care", "en"), (2, "THE mit with und FROM von", "de"), (3, "with the, from", None), (4, "with them from", "fr"), (5, None, "es")], "doc_id long, text string, lang string")
+    assert rows("lexical_search_all", spark, stored(spark, tmp_path, documents=df)) == [(1, 5), (2, 6), (3, 3)]
