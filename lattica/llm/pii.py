@@ -13,6 +13,8 @@ a string's permutation keeps its length and every separator.  Dates, social
 security numbers and IPv4 numbers are pairs (a, b) from residues whose product
 is the format's domain, so that no cycle has to be walked.
 
+Where candidates overlap, the leftmost that validates is taken.
+
 Defined cases: null text stays null, and has no values; what doesn't validate
 stays as it is; repeated rows are treated each; a column of the documents with
 the name of a result column gives way to it; an empty table gives an empty
@@ -29,15 +31,18 @@ from lattica.llm.shared import let
 # fixed values: the formats, by kind; none begins or ends inside a longer word or number
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}",
+    "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7} [A-Z0-9]{1,4})",
     "date": r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{8,15}",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,2}(?:[ .-]\d{2}){4}|0\d(?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![ .-]\d)",
     "card": r"\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}",
 }
-#: What no format may follow or be followed by.
-PATTERN = r"(?<![0-9A-Za-z._%+-])(?:" + "|".join(KINDS.values()) + r")(?![0-9A-Za-z])"
+#: What each kind may not follow besides a letter or digit, as that would continue it; the rest may follow any sign.
+AFTER = {"email": r"[._%+-]", "date": r"\d[./-]", "ip": r"\d[.]", "ssn": r"\d[.-]", "phone": r"\d[.+-]", "card": r"\d[.]"}
+#: What may not follow a kind; a time of day may follow a date.
+BEFORE = {"date": r"[0-9A-SU-Za-su-z]|[Tt](?!\d)"}
+PATTERN = r"(?<![0-9A-Za-z])(?:" + "|".join((f"(?<!{AFTER[k]})" if k in AFTER else "") + f"(?:{p})(?!{BEFORE.get(k, '[0-9A-Za-z]')})" for k, p in KINDS.items()) + ")"
 
 #: Rounds of a network; even, so that the halves end where they were.
 ROUNDS = 10
@@ -130,14 +135,36 @@ def iban_rest(s: Column) -> Column:
     return let(s, lambda x: F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0), lambda rest, i: step(rest, i, x)))
 
 
+def _unspaced(s: Column) -> Column:
+    return F.regexp_replace(s, " ", "")
+
+
+def _respaced(s: Column, letters: Column) -> Column:
+    """``s`` with all but its spaces replaced by the characters of ``letters`` in order."""
+    nth = lambda i: F.length(_unspaced(F.substr(s, F.lit(1), i)))
+    one = lambda i, x: F.when(F.substr(s, i, F.lit(1)) == " ", " ").otherwise(F.substr(x, nth(i), F.lit(1)))
+    return let(letters, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: one(i, x)), ""))
+
+
 def is_iban(s: Column) -> Column:
-    return iban_rest(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1
+    return let(_unspaced(s), lambda x: F.length(x).between(15, 34) & (iban_rest(F.concat(F.substr(x, F.lit(5), F.length(x)), F.substr(x, F.lit(1), F.lit(4)))) == 1))
+
+
+def iban_part(s: Column) -> Column:
+    """The longest run of groups from the first on that is an IBAN, as words may follow in groups' form; else ``s``."""
+    ends = lambda x: F.transform(F.sequence(F.size(x), F.least(F.lit(4), F.size(x)), F.lit(-1)), lambda n: F.array_join(F.slice(x, F.lit(1), n), " "))
+    return F.when(s.rlike(r"^[A-Z]{2}\d{2} "), F.coalesce(F.get(F.filter(let(F.split(s, " "), ends), is_iban), 0), s)).otherwise(s)
 
 
 def iban(s: Column, key: str) -> Column:
-    land = F.substr(s, F.lit(1), F.lit(2))
-    whole = lambda body: F.concat(land, F.lpad((F.lit(98) - iban_rest(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body)
-    return let(permuted_text(F.substr(s, F.lit(5), F.length(s)), key, "iban"), whole)
+    """Grouped or not, a number has the same pseudonym, in its groups."""
+
+    def made(x: Column) -> Column:
+        land = F.substr(x, F.lit(1), F.lit(2))
+        whole = lambda body: F.concat(land, F.lpad((F.lit(98) - iban_rest(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body)
+        return let(permuted_text(F.substr(x, F.lit(5), F.length(x)), key, "iban"), whole)
+
+    return F.when(s.contains(" "), _respaced(s, let(_unspaced(s), made))).otherwise(made(s))
 
 
 def _day(s: Column) -> tuple[Column, Column]:
@@ -206,8 +233,8 @@ def ssn(s: Column, key: str) -> Column:
 
 
 def phone(s: Column, key: str) -> Column:
-    """All digits but those of a country code set apart by a separator or bracket."""
-    code = F.regexp_extract(s, r"^\+\d{1,3}[ .(-]", 0)
+    """All digits but those of a country code set apart by a separator or bracket, and the 0 before national pairs."""
+    code = F.regexp_extract(s, r"^(?:\+\d{1,3}[ .(-]|0(?=\d(?:[ .-]\d{2}){4}$))", 0)
     rest = F.substr(s, F.length(code) + 1, F.length(s))
     return F.concat(code, _refilled(rest, permuted_text(_digits(rest), key, "phone")))
 
@@ -239,18 +266,43 @@ def pseudonym(s: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def chosen(text: Column) -> Column:
+    """A text as an array of (was, kind, rest): values that validate, leftmost first, and what follows each; the first has neither kind nor value.
+
+    The text is cut wherever a candidate begins, so one that begins inside
+    another is tried too, unless the other validates.
+    """
+    pieces = F.split(text, f"(?={PATTERN})", -1)
+    heads = F.regexp_extract_all(text, F.lit(f"(?=({PATTERN}))"), F.lit(1))
+    known = lambda s: F.struct(s.alias("was"), kind_of(s).alias("kind"))
+    tried = F.transform(F.transform(heads, iban_part), known)
+    empty = F.struct(F.lit("").alias("was"), F.lit(None).cast("string").alias("kind"))
+    # a text that begins with a candidate has no piece before it
+    parts = lambda p: F.arrays_zip(F.when(F.size(p) > F.size(heads), p).otherwise(F.concat(F.array(F.lit("")), p)).alias("piece"), F.concat(F.array(empty), tried).alias("head"))
+
+    def step(state: Column, x: Column) -> Column:
+        own = x["head"]["kind"].isNotNull() & (state["over"] == 0)
+        over = F.when(own, F.length(x["head"]["was"])).otherwise(state["over"])
+        rest = F.substr(x["piece"], over + 1, F.length(x["piece"]))
+        out = F.struct(F.when(own, x["head"]["was"]).alias("was"), F.when(own, x["head"]["kind"]).alias("kind"), rest.alias("rest"))
+        return F.struct(F.greatest(over - F.length(x["piece"]), F.lit(0)).alias("over"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<struct<was:string,kind:string,rest:string>>").alias("out"))
+    return F.when(F.size(heads) > 0, F.aggregate(let(pieces, parts), start, step, lambda s: s["out"]))
+
+
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every validated value in the text replaced by its pseudonym, and ``pii``: kind and pseudonym of each in order."""
     text = F.col(f"`{text_col}`")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("pii", text_col)]
-    found = docs.select(*own, text.alias("__text"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("__found"))
-    made = F.transform("__found", lambda s: F.struct(s.alias("was"), kind_of(s).alias("kind")))
-    found = found.select(*own, "__text", F.transform(made, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["was"]).otherwise(pseudonym(x["was"], x["kind"], key)).alias("value"))).alias("__made"))
-    between = F.split(F.col("__text"), PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(between, F.col("__made"), lambda part, m: F.array(part, F.coalesce(m["value"], F.lit(""))))), "")
-    new_text = F.when(F.size("__made") > 0, whole).otherwise(F.col("__text")).alias(text_col)
+    found = docs.select(*own, text.alias("__text"), chosen(text).alias("__found"))
+    made = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), pseudonym(x["was"], x["kind"], key)).alias("value"), x["rest"].alias("rest")))
+    found = found.select(*own, "__text", made.alias("__made"))
+    whole = F.array_join(F.transform("__made", lambda m: F.concat(F.coalesce(m["value"], F.lit("")), m["rest"])), "")
+    new_text = F.coalesce(whole, F.col("__text")).alias(text_col)
     kept = [new_text if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "pii"]
-    return found.select(*kept, F.coalesce(F.filter("__made", lambda m: m["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>")).alias("pii"))
+    values = F.transform(F.filter("__made", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value")))
+    return found.select(*kept, F.coalesce(values, F.array().cast("array<struct<kind:string,value:string>>")).alias("pii"))
 
 
 def report(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
