@@ -3,59 +3,70 @@
 Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets A, B
 of distinct n-word shingles.  Sets are held as sorted 64-bit hashes.
 
-Equal sets are one class, so copies cost one row.  Of a class's shingles, put
-into one global order, a prefix of ``n - ceil(t n) + 1`` must meet the prefix of
-every class that it links with.  The order puts the shingles that many texts
-share last, so common passages are not what classes meet by; any order is right,
-so an incomplete list of common shingles costs time only, never a link.
-
-Classes that share a prefix shingle form a block.  A block is cut into tiles by
-bands of set size, in which only neighbouring bands can link.  Three rounds find
-the links that join groups: hubs against the members of their tile, one member
-of each group against another group's, and at last all pairs of tiles whose
-members are still in different groups.  Each pair must pass the bound that hashed
-bitmaps put on the overlap, from above, before sorted arrays are intersected.
-Pairs already in one group are not tried again: they can't change it.
-
-Nothing of a block is gathered in one task: blocks are streamed in sorted order,
-and a large tile is dealt to a grid of cells.
+Equal sets are one class, so copies cost one row, and everything below is told
+apart by class, never by id.  Of a class's shingles, put into one global order,
+a prefix of ``n - ceil(t n) + 1`` must meet the prefix of every class that it
+links with.  The order puts the shingles that many texts share last, so common
+passages are not what classes meet by; any order is right, so an incomplete list
+of common shingles costs time only, never a link.
+
+Classes that share a prefix shingle form a block.  Two steps find which classes
+may link at all, both by the bound that hashed bitmaps put on the overlap, from
+above: first every class of a block against the first one of its size band and
+of the band below; then, in blocks that still hold several clusters, all classes
+of a tile (a band and the band below it).  A tile's cell passes on only what
+joins clusters, at most one row less than it has classes.  So classes of
+different clusters can't link, and each class is in one cluster.
+
+The texts of a cluster then go, once each, to the tiles of their cluster, where
+the bitmaps' bound is followed by exact intersection of sorted arrays.  Again a
+cell keeps its own union-find and passes on only the links that join groups;
+pairs already in one group are not tried, as they can't change it.
+
+Nothing of a block, tile or cluster is gathered in one task: blocks are streamed
+in sorted order, those of very common shingles in parts, and a large tile is
+dealt to a grid of cells of bounded size.
 
 Defined cases: null and empty texts have the empty set and link with nothing;
 texts of fewer words have their whole sequence as one shingle; repeated rows are
-copies of each other; a null id never names a group; the result's columns are
-fixed, whatever other columns the documents have.
+copies of each other; a null id never names a group that has another id, but its
+text links like any other; the result's columns are fixed, whatever other
+columns the documents have; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm import textkit as tk
 from lattica.llm.components import components
-from lattica.llm.shared import written
+from lattica.llm.shared import Scratch
 
 #: Words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
-#: 64-bit words of a bitmap signature, at least; they double until there are two bits a shingle.
-SIGNATURE = 16
+#: 64-bit words of a bitmap signature, at least; they double until there are four bits a shingle.
+SIGNATURE = 4
 #: A shingle is reported as common from so many classes within one stretch of a task on.
 COMMON_FROM, STRETCH = 4, 1 << 21
 #: Common shingles in the broadcast order; those beyond it are ordered by hash like all others.
 COMMON_MOST = 1 << 17
-#: Blocks of so many classes are paired by a self-join; larger ones go through tiles.
-SMALL = 16
-#: Rows of a tile's cell; larger tiles are dealt to several cells.
-CELL = 2048
-#: Ids that are broadcast when their documents are left out; more are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
-#: Bits of the filter over the ids whose sets are needed, by their number; at least and at most.
+#: Classes of a block's part; blocks of shingles that are known to be more common are streamed in several parts.
+PART = 1 << 16
+#: Rows and shingles of a tile's part; larger tiles are dealt to cells of two parts each.
+CELL, CELL_SHINGLES = 1024, 1 << 20
+#: Cells of so many rows at most are compared side by side.
+FEW = 32
+#: Rows that are broadcast when documents are left out; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+#: Bits of the filter over the rows whose texts are needed, by their number; at least and at most.
 FILTER_BITS = (1 << 23, 1 << 26)
 
 
@@ -73,11 +84,11 @@ def class_id(shingles: np.ndarray) -> int:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """A hashed bitmap; one of twice the length folds to one of the length by OR of its halves."""
     size = SIGNATURE
-    while 32 * size < len(shingles):
+    while 16 * size < len(shingles):
         size *= 2
     bits = np.zeros(64 * size, np.uint8)
     bits[(shingles >> np.uint64(20)) % np.uint64(64 * size)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def band(n: np.ndarray | float, percent: int = PERCENT):
@@ -85,6 +96,10 @@ def band(n: np.ndarray | float, percent: int = PERCENT):
     return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / percent) + 1e-9).astype(np.int64)
 
 
+def _band(n: str, percent: int) -> Column:
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100 / percent)) + F.lit(1e-9))
+
+
 def _long_lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)))
@@ -122,10 +137,17 @@ def _ordered(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~hit], s[hit][np.argsort(rank[at[hit]], kind="stable")]]) if hit.any() else s
 
 
-def classes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """Per row: id, set size, class, and the class's prefix and bitmap where this task meets the class first."""
-    known = docs.sparkSession.sparkContext.broadcast(common)
-    schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType()))])
+def _address() -> Column:
+    """A row's own number, by which its text is found again: rows have it in common only by chance or as repeated rows."""
+    return F.xxhash64("id", "text")
+
+
+def classes(docs: DataFrame, known, words: int, percent: int) -> DataFrame:
+    """Per row: id, address, set size, class, and the class's prefix and bitmap where this task meets the class first.
+
+    ``known`` is a broadcast of the common shingles in order of their hash, and of each one's count.
+    """
+    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("address", "n", "class")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "sig"))])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, none = set(), np.zeros(0, np.uint64)
@@ -139,30 +161,35 @@ def classes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int,
                     fresh = len(s) and cls[-1] not in seen
                     seen.add(cls[-1])
                     keys.append(_ordered(s, shingles, rank)[: prefix_length(len(s), percent)] if fresh else none)
-                    sigs.append(signature(s).view(np.uint64) if fresh else none)
-            yield pa.RecordBatch.from_pydict({"id": rb.column("id"), "n": pa.array(n, pa.int64()), "class": pa.array(cls, pa.int64()), "keys": _long_lists(keys), "sig": _long_lists(sigs)})
+                    sigs.append(signature(s) if fresh else none)
+            yield pa.RecordBatch.from_pydict({"id": rb.column("id"), "address": rb.column("address"), "n": pa.array(n, pa.int64()), "class": pa.array(cls, pa.int64()), "keys": _long_lists(keys), "sig": _long_lists(sigs)})
+
+    return docs.select("id", _address().alias("address"), "text").mapInArrow(made, schema)
+
 
-    return docs.select("id", "text").mapInArrow(made, schema)
+BLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "class", "n", "hub", "low", "split")])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, size and class: those of keys with several classes, with the hub of their band
-    (``hub``, the band's first class) and of the band below (``low``, its first class; else the hub)."""
-    carry = None
+    """Rows sorted by key, part, size and class: those of keys with several classes, with the hub of their band
+    (``hub``, the band's first class) and of the band below (``low``, its first class; else the hub).
+    Rows of a key in parts (part over 0) all stay, as another part may hold the other classes; ``split`` says that not
+    all classes of the key have met these hubs."""
+    carry, large = None, set()
 
-    def closed(key: np.ndarray, n: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    def closed(key: np.ndarray, part: np.ndarray, n: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, n, cls = key[fresh], n[fresh], cls[fresh]
+        fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (cls[1:] != cls[:-1])
+        key, part, n, cls = key[fresh], part[fresh], n[fresh], cls[fresh]
         new = np.ones(len(key) + 1, bool)
-        new[1:-1] = key[1:] != key[:-1]
-        several = ~(new[:-1] & new[1:])
-        key, n, cls = key[several], n[several], cls[several]
+        new[1:-1] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+        stay = ~(new[:-1] & new[1:]) | (part > 0)
+        key, part, n, cls = key[stay], part[stay], n[stay], cls[stay]
         b = band(n, percent)
         if not len(key):
-            return pa.RecordBatch.from_pydict({c: pa.array([], pa.int64()) for c in ("key", "class", "n", "hub", "low")})
+            return pa.RecordBatch.from_pydict({c: pa.array([], pa.int64()) for c in BLOCK.names})
         new_key = np.ones(len(key), bool)
-        new_key[1:] = key[1:] != key[:-1]
+        new_key[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         new_band = new_key.copy()
         new_band[1:] |= b[1:] != b[:-1]
         first = np.flatnonzero(new_band)
@@ -170,18 +197,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         below = np.maximum(which - 1, 0)
         near = ~new_key[first][which] & (b[first][below] == b - 1)
         hub = cls[first][which]
-        return pa.RecordBatch.from_pydict({"key": pa.array(key), "class": pa.array(cls), "n": pa.array(n), "hub": pa.array(hub), "low": pa.array(np.where(near, cls[first][below], hub))})
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "class": pa.array(cls), "n": pa.array(n), "hub": pa.array(hub), "low": pa.array(np.where(near, cls[first][below], hub)), "split": pa.array(((part > 0) | np.isin(key, list(large))).astype(np.int64))})
 
     for rb in batches:
-        cols = [rb.column(c).to_numpy() for c in ("key", "n", "class")]
+        cols = [rb.column(c).to_numpy() for c in ("key", "part", "n", "class")]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols)]
-        # a block that goes on in the next batch waits, but not when it outgrows many batches: then it is dealt in parts,
-        # each with the block's first row, so that hubs still tie the parts together
+        # a block that goes on in the next batch waits, but not when it outgrows a part: then what came so far is closed
+        # with its own hubs, and its last row stays with what follows, so that the two stay tied
         cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-        if cut == 0 and len(cols[0]) > 64 * CELL:
+        if cut == 0 and len(cols[0]) > PART:
+            large.add(int(cols[0][0]))
             yield closed(*cols)
-            carry = [x[:1] for x in cols]
+            carry = [x[-1:] for x in cols]
         else:
             carry = [x[cut:] for x in cols]
             if cut:
@@ -190,51 +218,38 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield closed(*carry)
 
 
-BLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "class", "n", "hub", "low")])
+def texts_of(docs: DataFrame, needed: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(address, text) of the documents whose addresses are needed, and the broadcast that this reads.
 
-
-def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, text) of the documents whose ids are needed; a text repeated under its id once a task.
-
-    The filter over the needed ids is a bit table of fixed size; an id that it
-    lets pass by chance only makes a row that no pair asks for.
+    The filter over the needed addresses is a bit table of fixed size; a row that
+    it lets pass by chance only makes a text that the later join drops.
     """
     spark = docs.sparkSession
     bits = FILTER_BITS[0]
     n = needed.count()
     while bits < min(FILTER_BITS[1], 8 * n):
         bits *= 2
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    at = F.pmod("address", F.lit(bits))
     table = np.zeros(bits // 64, np.int64)
     for word, value in needed.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))"))).collect():
         table[word] = value
     passing = spark.sparkContext.broadcast(table)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for rb in batches:
-            where = rb.column("at").to_numpy()
-            rb = rb.filter(pa.array((passing.value[where >> 6] >> (where & 63)) & 1 == 1))
-            fresh = []
-            for row in zip(rb.column("id").to_pylist(), rb.column("mark").to_pylist()):
-                fresh.append(row not in seen)
-                seen.add(row)
-            yield rb.select(["id", "text"]).filter(pa.array(fresh, pa.bool_()))
+            where = rb.column("address").to_numpy() % bits
+            yield rb.filter(pa.array((passing.value[where >> 6] >> (where & 63)) & 1 == 1))
 
-    rows = docs.select("id", "text", at.alias("at"), F.xxhash64("text").alias("mark"))
-    return rows.mapInArrow(passed, docs.select("id", "text").schema)
+    found = docs.select(_address().alias("address"), "text").mapInArrow(passed, T.StructType([T.StructField("address", T.LongType()), docs.schema["text"]]))
+    return found, passing
 
 
 def _enough(overlap, sizes, percent: int):
     return overlap * 100 >= (sizes - overlap) * percent
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes_: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b), those that link: by sizes, then by the bitmaps' bound, then by the sets themselves.
-
-    ``classes_`` has each class's id, n and sig.  Texts are what goes to the
-    pairs, as they are smaller than their sets of hashes.
-    """
+def bounded(pairs: DataFrame, classes_: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that sizes and bitmaps let link.  ``classes_`` has each class's n and sig."""
     pairs = pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sigs = classes_.select("class", "n", "sig")
     one, two = sigs.toDF("a", "na", "sa"), sigs.toDF("b", "nb", "sb")
@@ -243,159 +258,279 @@ def verified(pairs: DataFrame, docs: DataFrame, classes_: DataFrame, words: int,
     fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
     bound = F.least(F.col("na") - alone(fold("sa", "sb"), fold("sb", "sa")), F.col("nb") - alone(fold("sb", "sa"), fold("sa", "sb")))
     near = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    left = near.filter(_enough(bound, F.col("na") + F.col("nb"), percent)).select("a", "b")
-    left = written(left, f"{name}-bounded")
-    # a text goes to the cells of its partners; a partner of very many is dealt to several cells
-    load = left.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-    members = left.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("cell"), F.lit(1).alias("role"))
-    heads = load.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("role"))
-    wanted = written(members.union(heads).join(classes_.select(F.col("class").alias("b"), "id"), "b"), f"{name}-wanted")
-    rows = wanted.join(texts_of(docs, wanted.select("id").distinct()), "id")
-
-    def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, None
-        for rb in batches:
-            a, b, role = (rb.column(c).to_numpy() for c in ("a", "b", "role"))
-            keep = np.zeros(len(a), bool)
-            for part in tk.rounds(rb.column("text")):
-                for i, s in enumerate(tk.shingle_sets(part, words), part.rows.start):
-                    if not len(s) or class_id(s) != b[i]:  # another text under the same id
-                        continue
-                    if role[i] == 0:
-                        head, own = a[i], s
-                    elif head == a[i]:
-                        at = np.searchsorted(own, s)
-                        same = int((own[np.minimum(at, len(own) - 1)] == s).sum())
-                        keep[i] = _enough(same, len(own) + len(s), percent)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
-
-    links = rows.repartition("a", "cell").sortWithinPartitions("a", "cell", "role").select("a", "b", "role", "text")
-    return links.mapInArrow(intersected, "a long, b long").distinct()
-
-
-def _cells(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups within tiles (block and size band), both the band's own and with the band below,
-    whose bitmaps leave a link possible.  Rows: key, class, n, component; bitmaps join them last."""
-    width = math.log(100 / percent)
-    banded = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width) + F.lit(1e-9)))
-    homes = banded.select("*", F.col("band").alias("tile"))
-    visits = banded.select("*", (F.col("band") + 1).alias("tile"))
-    load = homes.union(visits).groupBy("key", "tile").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("grid"), F.max(F.col("band") == F.col("tile")).alias("has_home"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("has_home and lo < hi").drop("lo", "hi")
-    dealt = homes.union(visits).join(load, ["key", "tile"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("grid")).cast("int"))
-    # every two parts of a tile meet in the cell of (smaller, larger)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1))).withColumns({"row": F.least("part", "other"), "col": F.greatest("part", "other")})
+    return near.filter(_enough(bound, F.col("na") + F.col("nb"), percent)).select("a", "b")
+
+
+def _dealt(rows: DataFrame, scratch: Scratch, by: str, percent: int, several: Column) -> DataFrame:
+    """``rows`` (with ``by``, class, n and component) as cells' rows: tile, row, col, whether ``home``, and their part.
+
+    A class is at home in the tile of its band and visits the tile above.  Every
+    two parts of a tile meet in the cell of (smaller, larger).  ``several`` says
+    from a tile's aggregates whether there is anything to compare: ``lo`` and
+    ``hi`` of the components, ``m`` rows, ``homes`` among them, the greatest ``split``.
+    """
+    tiles = rows.withColumn("tile", _band("n", percent)).withColumn("home", F.lit(True))
+    tiles = tiles.union(tiles.withColumns({"tile": F.col("tile") + 1, "home": F.lit(False)}))
+    load = tiles.groupBy(by, "tile").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.count_if("home").alias("homes"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("split").alias("split"))
+    load = load.filter((F.col("homes") > 0) & several).select(by, "tile", F.ceil(F.greatest(F.col("m") / CELL, F.col("shingles") / CELL_SHINGLES)).cast("int").alias("grid"))
+    load = scratch.put(load, "load")  # as a table, so that Spark can split the join where one tile is very large
+    dealt = tiles.join(load, [by, "tile"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("grid")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
+    return dealt.withColumns({"row": F.least("part", "other"), "col": F.greatest("part", "other")}).drop("grid", "other")
+
+
+def _joining(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, group: np.ndarray, home: np.ndarray, part: np.ndarray, whole: bool, percent: int, exact: Callable | None = None) -> Iterator[pa.RecordBatch]:
+    """The pairs of a cell's rows that join its groups, at most one less than there are groups.
+
+    A pair counts if the bitmaps' bound lets it, and ``exact(i, candidates)``,
+    where given, says so.  The row whose bits most others share comes first, so
+    copies of one text mostly join at once.
+    """
+    bits = np.unpackbits(sig.view(np.uint8), axis=1)
+    shared = (bits @ bits.sum(0, dtype=np.float32)) / np.maximum(bits.sum(1), 1)
+    open_, group = np.ones(len(n), bool), np.unique(group, return_inverse=True)[1]
+    a, b = [], []
+    for i in np.argsort(-shared, kind="stable"):
+        if not home[i]:
+            continue
+        open_[i] = False
+        cand = np.flatnonzero((group != group[i]) & (open_ | ~home) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (whole | (part != part[i])))
+        if len(cand):
+            left, right = np.bitwise_count(sig[i] & ~sig[cand]).sum(1, dtype=np.int64), np.bitwise_count(sig[cand] & ~sig[i]).sum(1, dtype=np.int64)
+            cand = cand[_enough(np.minimum(n[i] - left, n[cand] - right), n[i] + n[cand], percent)]
+        if len(cand) and exact is not None:
+            cand = cand[exact(i, cand)]
+        if len(cand):
+            new, first = np.unique(group[cand], return_index=True)
+            a += [cls[i]] * len(first)
+            b += cls[cand[first]].tolist()
+            group[np.isin(group, new)] = group[i]
+            if (group == group[0]).all():
+                break
+    if a:
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+CELL_KEY = ("tile", "row", "col")
+
+
+def _cell_edges(rb: pa.RecordBatch, by: str) -> Iterator[tuple[tuple, int, int]]:
+    """The stretches of a sorted batch that belong to one cell."""
+    if rb.num_rows:
+        ids = [rb.column(c).to_numpy() for c in (by, *CELL_KEY)]
+        edge = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), rb.num_rows]):
+            yield tuple(int(x[a]) for x in ids), a, b
+
+
+def _folded(sig: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of some rows as a matrix, longer ones folded to ``width`` words."""
+    flat, ends = sig.values.to_numpy().view(np.uint64), sig.offsets.to_numpy()
+    out, size = np.zeros((len(rows), width), np.uint64), ends[rows + 1] - ends[rows]
+    for times in np.unique(size // width).tolist():
+        at = np.flatnonzero(size == times * width)
+        out[at] = np.bitwise_or.reduce(flat[ends[rows[at]][:, None] + np.arange(times * width)].reshape(len(at), times, width), 1)
+    return out
+
+
+def _joining_small(rb: pa.RecordBatch, cells: list[tuple[int, int]], percent: int) -> Iterator[pa.RecordBatch]:
+    """As ``_joining`` by bitmaps alone, for many whole cells of one part and few rows each, all pairs side by side."""
+    sig, (cls, n, group) = rb.column("sig"), (rb.column(c).to_numpy() for c in ("class", "n", "component"))
+    home = rb.column("home").to_numpy(zero_copy_only=False)
+    start, end = (np.array(x) for x in zip(*cells))
+    widths = np.diff(sig.offsets.to_numpy())
+    least = np.minimum.reduceat(np.append(widths, np.iinfo(widths.dtype).max), np.stack([start, end], 1).ravel())[::2]
+    for width in np.unique(least).tolist():
+        a, b = [], []
+        for m in np.unique((end - start)[least == width]).tolist():
+            at = start[(least == width) & (end - start == m)]
+            one, two = np.triu_indices(m, 1)
+            a.append((at[:, None] + one).ravel())
+            b.append((at[:, None] + two).ravel())
+        a, b = np.concatenate(a), np.concatenate(b)
+        keep = (group[a] != group[b]) & (home[a] | home[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+        a, b = a[keep], b[keep]
+        rows, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        bits = _folded(sig, rows, width)
+        x, y = where[: len(a)], where[len(a) :]
+        left, right = np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64)
+        keep = _enough(np.minimum(n[a] - left, n[b] - right), n[a] + n[b], percent)
+        # a forest of each cell: its clusters, told apart by cell
+        leader: dict[tuple[int, int], tuple[int, int]] = {}
+        found_a, found_b = [], []
+        cell = np.searchsorted(start, a[keep], side="right")
+        for i, j, c in zip(a[keep].tolist(), b[keep].tolist(), cell.tolist()):
+            p, q = (c, int(group[i])), (c, int(group[j]))
+            while p in leader:
+                p = leader[p]
+            while q in leader:
+                q = leader[q]
+            if p != q:
+                leader[p] = q
+                found_a.append(int(cls[i]))
+                found_b.append(int(cls[j]))
+        if found_a:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+
+def possible(rows: DataFrame, sigs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) that join different clusters within a block and that bitmaps let link.  Rows: key, class, n, component."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cell = [], None
 
-        def pairs_of() -> Iterator[pa.RecordBatch]:
-            cls, n, comp, home, part, sig = (np.concatenate(x) for x in zip(*held))
+        def closed() -> Iterator[pa.RecordBatch]:
+            cls, n, group, home, part, sig = (np.concatenate(x) for x in zip(*held))
             width = min(map(len, sig))
             sig = np.stack([np.bitwise_or.reduce(x.view(np.uint64).reshape(-1, width), 0) for x in sig])
-            row, col = cell[2], cell[3]
-            for i in np.flatnonzero(home):
-                cand = np.flatnonzero((comp != comp[i]) & (~home | (cls > cls[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & ((part == row) & (part[i] == col) | (part == col) & (part[i] == row)))
-                if len(cand):
-                    only = np.bitwise_count(sig[i] & ~sig[cand]).sum(1), np.bitwise_count(sig[cand] & ~sig[i]).sum(1)
-                    bound = np.minimum(n[i] - only[0].astype(np.int64), n[cand] - only[1].astype(np.int64))
-                    cand = cand[_enough(bound, n[i] + n[cand], percent)]
-                    if len(cand):
-                        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(cls[i], cls[cand])), "b": pa.array(np.maximum(cls[i], cls[cand]))})
+            yield from _joining(cls, n, sig, group, home, part, cell[2] == cell[3], percent)
 
         for rb in batches:
-            ids = [rb.column(c).to_numpy() for c in ("key", "tile", "row", "col")]
-            edge = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            lists = rb.column("sig")
+            lists, few = rb.column("sig"), []
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            sig = np.empty(rb.num_rows, object)
-            sig[:] = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
-            cols = [*(rb.column(c).to_numpy() for c in ("class", "n", "component")), rb.column("home").to_numpy(zero_copy_only=False), rb.column("part").to_numpy(), sig]
-            for a, b in zip([0, *edge], [*edge, rb.num_rows]):
-                now = tuple(int(x[a]) for x in ids)
+            cols = [*(rb.column(c).to_numpy() for c in ("class", "n", "component")), rb.column("home").to_numpy(zero_copy_only=False), rb.column("part").to_numpy()]
+            for now, a, b in _cell_edges(rb, "key"):
                 if cell is not None and now != cell:
-                    yield from pairs_of()
-                    held = []
+                    yield from closed()
+                    held, cell = [], None
+                if cell is None and b < rb.num_rows and b - a <= FEW and now[2] == now[3]:
+                    few.append((a, b))
+                    continue
                 cell = now
-                held.append([x[a:b] for x in cols])
+                sig = np.empty(b - a, object)
+                sig[:] = [flat[x:y] for x, y in zip(ends[a:b], ends[a + 1 : b + 1])]
+                held.append([*(x[a:b] for x in cols), sig])
+            if few:
+                yield from _joining_small(rb, few, percent)
         if held:
-            yield from pairs_of()
+            yield from closed()
+
+    # two at home and one visitor have all met: the band's hub and that of the band below were held against all
+    dealt = _dealt(rows, scratch, "key", percent, (F.col("lo") < F.col("hi")) & ((F.col("split") > 0) | (F.col("homes") > 2) | (F.col("m") - F.col("homes") > 1)))
+    sent = dealt.join(sigs, "class").select("key", *CELL_KEY, "class", "n", "component", "home", "part", "sig")
+    return sent.repartition("key", *CELL_KEY).sortWithinPartitions("key", *CELL_KEY).mapInArrow(paired, "a long, b long")
 
-    sent = dealt.select("key", "tile", "row", "col", "class", "n", "component", (F.col("band") == F.col("tile")).alias("home"), "part").join(sigs, "class")
-    return sent.repartition("key", "tile", "row", "col").sortWithinPartitions("key", "tile", "row", "col").mapInArrow(paired, "a long, b long").distinct()
 
+def linked(clusters: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """The links (a, b) that join classes of a cluster into groups.  Clusters: component, class, n, address."""
 
-def _mixed(blocks: DataFrame, groups: DataFrame) -> DataFrame:
-    """Block rows with their components, of the blocks that hold several."""
-    rows = blocks.select("key", "class", "n").join(groups, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(several, "key", "left_semi")
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
 
+        def closed() -> Iterator[pa.RecordBatch]:
+            cls, home, part, sets = (list(x) for x in zip(*held))
+            sigs = [signature(s) for s in sets]
+            width = min(map(len, sigs))
+            sig = np.stack([np.bitwise_or.reduce(x.reshape(-1, width), 0) for x in sigs])
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id that links reach) and n_copies of its set."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+            def exact(i: int, cand: np.ndarray) -> np.ndarray:
+                own, theirs = sets[i], [sets[j] for j in cand]
+                size = np.array([len(s) for s in theirs])
+                every = np.concatenate(theirs)
+                same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                return _enough(np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64), len(own) + size, percent)
+
+            yield from _joining(np.array(cls), np.array([len(s) for s in sets]), sig, np.arange(len(cls)), np.array(home), np.array(part), cell[2] == cell[3], percent, exact)
+
+        for rb in batches:
+            cls, part = rb.column("class").to_numpy(), rb.column("part").to_numpy()
+            home, at = rb.column("home").to_numpy(zero_copy_only=False), np.zeros(rb.num_rows, np.int64)
+            cells = []
+            for k, (now, a, b) in enumerate(_cell_edges(rb, "component")):
+                cells.append(now)
+                at[a:b] = k
+            for texts in tk.rounds(rb.column("text")):
+                for i, s in enumerate(tk.shingle_sets(texts, words), texts.rows.start):
+                    if cells[at[i]] != cell:
+                        if held:
+                            yield from closed()
+                        held, cell = [], cells[at[i]]
+                    # not the text of another row with this address, nor a repeated row
+                    if len(s) and class_id(s) == cls[i] and not (held and held[-1][0] == cls[i]):
+                        held.append((cls[i], home[i], part[i], s))
+        if held:
+            yield from closed()
+
+    dealt = _dealt(clusters.withColumn("split", F.lit(0)), scratch, "component", percent, F.col("m") > 1)
+    texts, passing = texts_of(docs, clusters.select("address"))
+    rows = dealt.join(texts, "address").select("component", *CELL_KEY, "class", "home", "part", "text")
+    links = scratch.put(rows.repartition("component", *CELL_KEY).sortWithinPartitions("component", *CELL_KEY, "class").mapInArrow(matched, "a long, b long"), "links")
+    passing.destroy()
+    return links
+
+
+def grouped(own: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Of rows (id, text): id, address, n, class, and component, the number of its group (null for the empty set), as a table."""
     counted = own.select("text").mapInArrow(lambda it: _common(it, words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).collect()
     common = np.array([r[0] for r in top], np.int64).view(np.uint64)
     by_hash = np.argsort(common)
-    rank = np.array([r[1] for r in top], np.int64)
+    known = own.sparkSession.sparkContext.broadcast((common[by_hash], np.array([r[1] for r in top], np.int64)[by_hash]))
+    members = scratch.put(classes(own, known, words, percent), "members")
+    known.destroy()
 
-    members = written(classes(own, (common[by_hash], rank[by_hash]), words, percent), "classes")
     keys = members.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "n", "class")
-    blocks = keys.repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(lambda it: _blocks(it, percent), BLOCK)
-    blocks = written(blocks, "blocks")
-
-    reps = members.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"))
-    # what the pairs of the three rounds ask of a class, for those in some block; copies in other tasks have the same bitmap
-    met = blocks.select("class", "n").distinct().join(reps, "class")
-    sigs = members.filter(F.size("sig") > 0).select("class", "sig")
-    known = written(met.join(sigs, "class").dropDuplicates(["class"]), "known")
-
-    stars = blocks.select(F.col("hub").alias("a"), F.col("class").alias("b")).union(blocks.select(F.col("low").alias("a"), F.col("class").alias("b")).filter("a != b")).distinct()
-    links = written(verified(stars, own, known, words, percent, "stars"), "links")
-    joined = components(links)
-
-    # second round: a member of each group against one of the block's first group
-    mixed = written(_mixed(blocks, joined), "mixed")
-    if not mixed.isEmpty():
-        each = mixed.groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("key", "class").alias("h"), "class")).alias("m")).select("key", "component", F.col("m.class").alias("class"))
-        first = each.groupBy("key").agg(F.min(F.struct("component", "class")).alias("f")).select("key", F.col("f.class").alias("a"))
-        links = links.union(verified(each.join(first, "key").select("a", F.col("class").alias("b")), own, known, words, percent, "second"))
-        links = written(links, "links")
-        joined = components(links)
-        mixed = written(_mixed(mixed, joined), "mixed")
-    if not mixed.isEmpty():
-        sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-        few = mixed.join(sizes.filter(F.col("m") <= SMALL).select("key"), "key")
-        one, two = few.toDF("key", "a", "na", "ca"), few.toDF("key", "b", "nb", "cb")
-        pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b")
-        many = mixed.join(sizes.filter(F.col("m") > SMALL).select("key"), "key")
-        pairs = pairs.union(_cells(many.select("key", "class", "n", "component"), known.select("class", "sig"), percent))
-        links = written(links.union(verified(pairs, own, known, words, percent, "rest")), "links")
-        joined = components(links)
-
-    # names: the smallest id of each component, by class; empty sets stay alone
-    named = reps.join(joined, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = named.join(least, "component").select("class", "component_id")
-    return members.join(of_class, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    hot = [(r[0], -(-r[1] // PART)) for r in top if r[1] > PART]
+    part = F.lit(0).cast("long")
+    if hot:  # at most COMMON_MOST rows
+        keys = keys.join(F.broadcast(own.sparkSession.createDataFrame(hot, "key long, parts long")), "key", "left")
+        part = F.coalesce(F.pmod("class", "parts") + 1, part)
+    keys = keys.select("key", part.alias("part"), "n", "class")
+    blocks = scratch.put(keys.repartition("key", "part").sortWithinPartitions("key", "part", "n", "class").mapInArrow(lambda it: _blocks(it, percent), BLOCK), "blocks")
+
+    # what pairs ask of a class, for those in some block; copies in other tasks have the same bitmap
+    met = blocks.select("class").distinct()
+    rep = members.filter(F.size("sig") > 0).groupBy("class").agg(F.first("n").alias("n"), F.min(F.struct("address", "sig")).alias("m")).select("class", "n", "m.address", "m.sig")
+    rep = scratch.put(rep.join(met, "class", "left_semi"), "rep")
+    stars = blocks.select(F.col("hub").alias("a"), F.col("class").alias("b")).union(blocks.select(F.col("low").alias("a"), F.col("class").alias("b")))
+    edges = scratch.put(bounded(stars, rep, percent), "edges-of-stars")
+    found = components(edges, scratch, "clusters-of-stars")
+
+    rows = blocks.join(found, F.col("class") == F.col("node"), "left").select("key", "class", "n", "split", F.coalesce("component", "class").alias("component"))
+    rows = scratch.put(rows, "rows")
+    several = scratch.put(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "several")
+    mixed = scratch.put(rows.join(several, "key", "left_semi"), "mixed")
+    scratch.drop("rows", "several", "blocks")
+    edges = scratch.put(edges.union(possible(mixed, rep.select("class", "sig"), scratch, percent)), "edges")
+    scratch.drop("edges-of-stars", "clusters-of-stars", "mixed", "load")
+    found = components(edges, scratch, "clusters")
+
+    clusters = scratch.put(found.join(rep.select(F.col("class").alias("node"), "n", "address"), "node").select("component", F.col("node").alias("class"), "n", "address"), "members-of-clusters")
+    links = linked(clusters, own, scratch, words, percent)
+    scratch.drop("edges", "clusters", "members-of-clusters", "rep", "load")
+    found = components(links, scratch, "groups")
+    scratch.drop("links")
+    one = members.select("id", "address", "n", "class").join(found, F.col("class") == F.col("node"), "left")
+    one = scratch.put(one.select("id", "address", "n", "class", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("component")), "grouped")
+    scratch.drop("members", "groups")
+    return one
+
+
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, n_shingles and component_id, the smallest id that links reach (null if none has an id)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    found = grouped(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), scratch, words, percent)
+    least = scratch.put(found.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id")), "names")
+    return found.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents less the copies and near copies: of each group stays that of the smallest id, one row of it.
+    """The documents less the copies and near copies: of each group stays one row, that of the smallest id.
 
-    Rows without words, or with a null id, stay as they are.
+    Rows without words stay as they are.  Among rows of one id, that of the
+    smallest hash of its text stays, and one row of equal ones; a null id comes
+    after all others.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    found = groups(docs, id_col=id_col, text_col=text_col, words=words, percent=percent).filter(F.col("n_shingles") > 0).select(F.col(id_col).alias("__id"), "component_id")
-    found = written(found.filter(F.col("__id").isNotNull()), "groups")
-    gone = found.filter(F.col("component_id") < F.col("__id")).select("__id").distinct()
-    again = found.groupBy("__id").count().filter("count > 1").select("__id")
-    small = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda df: df)
-    kept = docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    sided = docs.select(F.struct(*own).alias("own"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    found = grouped(sided.select("id", "text"), scratch, words, percent).filter("n > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "address")).alias("m")).select("component", F.col("m.address").alias("first"))
+    gone = scratch.put(found.join(first, "component").filter(F.col("address") != F.col("first")).select("address").distinct(), "gone")
+    again = scratch.put(found.groupBy("address").count().filter("count > 1").select("address"), "again")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    kept = sided.withColumn("address", _address()).join(small(gone), "address", "left_anti")
     if not again.isEmpty():
-        small = F.broadcast if again.count() <= BROADCAST_IDS else (lambda df: df)
-        match = F.col(f"`{id_col}`") == F.col("__id")
-        once = kept.join(small(again), match, "left_semi").dropDuplicates([id_col, text_col])
-        kept = kept.join(small(again), match, "left_anti").unionByName(once)
-    return kept.select(*own)
+        once = kept.join(small(again), "address", "left_semi").dropDuplicates(["address"])
+        kept = kept.join(small(again), "address", "left_anti").unionByName(once)
+    return kept.select(*[F.col("own")[c].alias(c) for c in docs.columns])

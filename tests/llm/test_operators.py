@@ -34,9 +34,11 @@ def brute_groups(rows):
     return {rows[i][0]: (len(sets[i]), min(rows[k][0] for k in range(len(rows)) if group[k] == group[i])) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_jaccard_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)  # 1: every mixed block goes through tiles
+@pytest.mark.parametrize("most", [1024, 4])
+def test_jaccard_against_brute_force(spark, monkeypatch, most):
+    for name in ("CELL", "CELL_SHINGLES", "PART"):  # 4: blocks in parts, tiles in many cells
+        monkeypatch.setattr(jaccard, name, most * {"CELL_SHINGLES": 100}.get(name, 1))
+    monkeypatch.setattr(jaccard, "COMMON_FROM", 2)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
     rows = []
