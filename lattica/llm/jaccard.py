@@ -10,13 +10,18 @@ links with.  The order puts the shingles that many texts share last, so common
 passages are not what classes meet by; any order is right, so an incomplete list
 of common shingles costs time only, never a link.
 
-Classes that share a prefix shingle form a block.  Two steps find which classes
-may link at all, both by the bound that hashed bitmaps put on the overlap, from
-above: first every class of a block against the first one of its size band and
-of the band below; then, in blocks that still hold several clusters, all classes
-of a tile (a band and the band below it).  A tile's cell passes on only what
-joins clusters, at most one row less than it has classes.  So classes of
-different clusters can't link, and each class is in one cluster.
+Classes that share a prefix shingle form a block.  If it is the first that two
+of them share, its places in their orders bound what they can have in common;
+so a block asks for those pairs only that sizes and places let link.  Where these
+are fewer than its classes, they are named; a denser block goes through tiles.
+
+Two steps find which classes may link at all, both by the bound that hashed
+bitmaps put on the overlap, from above: first the named pairs and, of dense
+blocks, every class against the first one of its size band and of the band
+below; then, in dense blocks that still hold several clusters, all classes of a
+tile (a band and the band below it).  A tile's cell passes on only what joins
+clusters, at most one row less than it has classes.  So classes of different
+clusters can't link, and each class is in one cluster.
 
 The texts of a cluster then go, once each, to the tiles of their cluster, where
 the bitmaps' bound is followed by exact intersection of sorted arrays.  Again a
@@ -167,40 +172,58 @@ def classes(docs: DataFrame, known, words: int, percent: int) -> DataFrame:
     return docs.select("id", _address().alias("address"), "text").mapInArrow(made, schema)
 
 
-BLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "class", "n", "hub", "low", "split")])
+BLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "class", "n", "reach", "hub", "low", "split")])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, part, size and class: those of keys with several classes, with the hub of their band
-    (``hub``, the band's first class) and of the band below (``low``, its first class; else the hub).
-    Rows of a key in parts (part over 0) all stay, as another part may hold the other classes; ``split`` says that not
-    all classes of the key have met these hubs."""
+    """Rows of blocks that may hold links, from rows sorted by key, part, size and class.
+
+    A block of few pairs that can link has a row for each, whose ``hub`` and
+    ``class`` they are, with ``split`` -1.  A denser one has its classes that can
+    link, each with the hub of its band (``hub``, the band's first class) and that
+    of the band below (``low``), or itself where the two can't link.  ``split`` is 1
+    where not all classes of the key have met these hubs, as they are in another
+    part; then all its classes stay.  ``reach`` is how many of its shingles a class
+    has from the key on.
+    """
     carry, large = None, set()
 
-    def closed(key: np.ndarray, part: np.ndarray, n: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    def closed(key: np.ndarray, part: np.ndarray, n: np.ndarray, at: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (cls[1:] != cls[:-1])
-        key, part, n, cls = key[fresh], part[fresh], n[fresh], cls[fresh]
-        new = np.ones(len(key) + 1, bool)
-        new[1:-1] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        stay = ~(new[:-1] & new[1:]) | (part > 0)
-        key, part, n, cls = key[stay], part[stay], n[stay], cls[stay]
-        b = band(n, percent)
+        key, part, n, reach, cls = (x[fresh] for x in (key, part, n, n - at, cls))
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        size = np.diff(np.append(edge, len(key)))
+        split = (part > 0) | np.isin(key, list(large))
+        stay, pairs = np.repeat(size > FEW, size) | split, []
+        for m in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+            first = edge[(size == m) & ~split[edge]]
+            one, two = np.triu_indices(m, 1)
+            a, b = first[:, None] + one, first[:, None] + two
+            ok = _enough(np.minimum(reach[a], reach[b]), n[a] + n[b], percent)
+            few = ok.sum(1) < m
+            pairs.append((a[few][ok[few]], b[few][ok[few]]))
+            stay[a[~few][ok[~few]]] = stay[b[~few][ok[~few]]] = True
+        a, b = (np.concatenate([*(x[i] for x in pairs), np.zeros(0, np.int64)]) for i in (0, 1))
+        none = np.zeros(len(a), np.int64)
+        named = {"key": key[a], "class": cls[b], "n": none, "reach": none, "hub": cls[a], "low": cls[a], "split": none - 1}
+        key, part, n, reach, cls, split = (x[stay] for x in (key, part, n, reach, cls, split))
         if not len(key):
-            return pa.RecordBatch.from_pydict({c: pa.array([], pa.int64()) for c in BLOCK.names})
-        new_key = np.ones(len(key), bool)
-        new_key[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            return pa.RecordBatch.from_pydict({c: pa.array(named[c], pa.int64()) for c in BLOCK.names})
+        tier = band(n, percent)
+        new_key = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         new_band = new_key.copy()
-        new_band[1:] |= b[1:] != b[:-1]
-        first = np.flatnonzero(new_band)
-        which = np.cumsum(new_band) - 1
-        below = np.maximum(which - 1, 0)
-        near = ~new_key[first][which] & (b[first][below] == b - 1)
-        hub = cls[first][which]
-        return pa.RecordBatch.from_pydict({"key": pa.array(key), "class": pa.array(cls), "n": pa.array(n), "hub": pa.array(hub), "low": pa.array(np.where(near, cls[first][below], hub)), "split": pa.array(((part > 0) | np.isin(key, list(large))).astype(np.int64))})
+        new_band[1:] |= tier[1:] != tier[:-1]
+        first, which = np.flatnonzero(new_band), np.cumsum(new_band) - 1
+        below = first[np.maximum(which - 1, 0)]
+        near, hub, own = ~new_key[first][which] & (tier[below] == tier - 1), first[which], np.arange(len(key))
+        meets = lambda h: _enough(np.minimum(reach[h], reach), n[h] + n, percent)
+        hub, low = np.where(meets(hub), hub, own), np.where(near & meets(below), below, own)
+        dense = {"key": key, "class": cls, "n": n, "reach": reach, "hub": cls[hub], "low": cls[low], "split": split.astype(np.int64)}
+        return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([named[c], dense[c]]), pa.int64()) for c in BLOCK.names})
 
     for rb in batches:
-        cols = [rb.column(c).to_numpy() for c in ("key", "part", "n", "class")]
+        cols = [rb.column(c).to_numpy() for c in ("key", "part", "n", "at", "class")]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols)]
         # a block that goes on in the next batch waits, but not when it outgrows a part: then what came so far is closed
@@ -279,10 +302,10 @@ def _dealt(rows: DataFrame, scratch: Scratch, by: str, percent: int, several: Co
     return dealt.withColumns({"row": F.least("part", "other"), "col": F.greatest("part", "other")}).drop("grid", "other")
 
 
-def _joining(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, group: np.ndarray, home: np.ndarray, part: np.ndarray, whole: bool, percent: int, exact: Callable | None = None) -> Iterator[pa.RecordBatch]:
+def _joining(cls: np.ndarray, n: np.ndarray, reach: np.ndarray, sig: np.ndarray, group: np.ndarray, home: np.ndarray, part: np.ndarray, whole: bool, percent: int, exact: Callable | None = None) -> Iterator[pa.RecordBatch]:
     """The pairs of a cell's rows that join its groups, at most one less than there are groups.
 
-    A pair counts if the bitmaps' bound lets it, and ``exact(i, candidates)``,
+    A pair counts if its ``reach`` (most that each can have in common with another) and the bitmaps' bound let it, and ``exact(i, candidates)``,
     where given, says so.  The row whose bits most others share comes first, so
     copies of one text mostly join at once.
     """
@@ -294,7 +317,7 @@ def _joining(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, group: np.ndarray,
         if not home[i]:
             continue
         open_[i] = False
-        cand = np.flatnonzero((group != group[i]) & (open_ | ~home) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (whole | (part != part[i])))
+        cand = np.flatnonzero((group != group[i]) & (open_ | ~home) & _enough(np.minimum(reach, reach[i]), n + n[i], percent) & (whole | (part != part[i])))
         if len(cand):
             left, right = np.bitwise_count(sig[i] & ~sig[cand]).sum(1, dtype=np.int64), np.bitwise_count(sig[cand] & ~sig[i]).sum(1, dtype=np.int64)
             cand = cand[_enough(np.minimum(n[i] - left, n[cand] - right), n[i] + n[cand], percent)]
@@ -335,7 +358,7 @@ def _folded(sig: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarray:
 
 def _joining_small(rb: pa.RecordBatch, cells: list[tuple[int, int]], percent: int) -> Iterator[pa.RecordBatch]:
     """As ``_joining`` by bitmaps alone, for many whole cells of one part and few rows each, all pairs side by side."""
-    sig, (cls, n, group) = rb.column("sig"), (rb.column(c).to_numpy() for c in ("class", "n", "component"))
+    sig, (cls, n, reach, group) = rb.column("sig"), (rb.column(c).to_numpy() for c in ("class", "n", "reach", "component"))
     home = rb.column("home").to_numpy(zero_copy_only=False)
     start, end = (np.array(x) for x in zip(*cells))
     widths = np.diff(sig.offsets.to_numpy())
@@ -348,7 +371,7 @@ def _joining_small(rb: pa.RecordBatch, cells: list[tuple[int, int]], percent: in
             a.append((at[:, None] + one).ravel())
             b.append((at[:, None] + two).ravel())
         a, b = np.concatenate(a), np.concatenate(b)
-        keep = (group[a] != group[b]) & (home[a] | home[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+        keep = (group[a] != group[b]) & (home[a] | home[b]) & _enough(np.minimum(reach[a], reach[b]), n[a] + n[b], percent)
         a, b = a[keep], b[keep]
         rows, where = np.unique(np.concatenate([a, b]), return_inverse=True)
         bits = _folded(sig, rows, width)
@@ -380,15 +403,15 @@ def possible(rows: DataFrame, sigs: DataFrame, scratch: Scratch, percent: int) -
         held, cell = [], None
 
         def closed() -> Iterator[pa.RecordBatch]:
-            cls, n, group, home, part, sig = (np.concatenate(x) for x in zip(*held))
+            cls, n, reach, group, home, part, sig = (np.concatenate(x) for x in zip(*held))
             width = min(map(len, sig))
             sig = np.stack([np.bitwise_or.reduce(x.view(np.uint64).reshape(-1, width), 0) for x in sig])
-            yield from _joining(cls, n, sig, group, home, part, cell[2] == cell[3], percent)
+            yield from _joining(cls, n, reach, sig, group, home, part, cell[2] == cell[3], percent)
 
         for rb in batches:
             lists, few = rb.column("sig"), []
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            cols = [*(rb.column(c).to_numpy() for c in ("class", "n", "component")), rb.column("home").to_numpy(zero_copy_only=False), rb.column("part").to_numpy()]
+            cols = [*(rb.column(c).to_numpy() for c in ("class", "n", "reach", "component")), rb.column("home").to_numpy(zero_copy_only=False), rb.column("part").to_numpy()]
             for now, a, b in _cell_edges(rb, "key"):
                 if cell is not None and now != cell:
                     yield from closed()
@@ -407,7 +430,7 @@ def possible(rows: DataFrame, sigs: DataFrame, scratch: Scratch, percent: int) -
 
     # two at home and one visitor have all met: the band's hub and that of the band below were held against all
     dealt = _dealt(rows, scratch, "key", percent, (F.col("lo") < F.col("hi")) & ((F.col("split") > 0) | (F.col("homes") > 2) | (F.col("m") - F.col("homes") > 1)))
-    sent = dealt.join(sigs, "class").select("key", *CELL_KEY, "class", "n", "component", "home", "part", "sig")
+    sent = dealt.join(sigs, "class").select("key", *CELL_KEY, "class", "n", "reach", "component", "home", "part", "sig")
     return sent.repartition("key", *CELL_KEY).sortWithinPartitions("key", *CELL_KEY).mapInArrow(paired, "a long, b long")
 
 
@@ -430,7 +453,8 @@ def linked(clusters: DataFrame, docs: DataFrame, scratch: Scratch, words: int, p
                 same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
                 return _enough(np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64), len(own) + size, percent)
 
-            yield from _joining(np.array(cls), np.array([len(s) for s in sets]), sig, np.arange(len(cls)), np.array(home), np.array(part), cell[2] == cell[3], percent, exact)
+            n = np.array([len(s) for s in sets])
+            yield from _joining(np.array(cls), n, n, sig, np.arange(len(cls)), np.array(home), np.array(part), cell[2] == cell[3], percent, exact)
 
         for rb in batches:
             cls, part = rb.column("class").to_numpy(), rb.column("part").to_numpy()
@@ -469,24 +493,25 @@ def grouped(own: DataFrame, scratch: Scratch, words: int, percent: int) -> DataF
     members = scratch.put(classes(own, known, words, percent), "members")
     known.destroy()
 
-    keys = members.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "n", "class")
+    keys = members.filter(F.size("keys") > 0).select(F.posexplode("keys").alias("at", "key"), "n", "class")
     hot = [(r[0], -(-r[1] // PART)) for r in top if r[1] > PART]
     part = F.lit(0).cast("long")
     if hot:  # at most COMMON_MOST rows
         keys = keys.join(F.broadcast(own.sparkSession.createDataFrame(hot, "key long, parts long")), "key", "left")
         part = F.coalesce(F.pmod("class", "parts") + 1, part)
-    keys = keys.select("key", part.alias("part"), "n", "class")
+    keys = keys.select("key", part.alias("part"), "n", F.col("at").cast("long").alias("at"), "class")
     blocks = scratch.put(keys.repartition("key", "part").sortWithinPartitions("key", "part", "n", "class").mapInArrow(lambda it: _blocks(it, percent), BLOCK), "blocks")
 
     # what pairs ask of a class, for those in some block; copies in other tasks have the same bitmap
-    met = blocks.select("class").distinct()
+    met = blocks.select(F.explode(F.array("class", "hub")).alias("class")).distinct()
     rep = members.filter(F.size("sig") > 0).groupBy("class").agg(F.first("n").alias("n"), F.min(F.struct("address", "sig")).alias("m")).select("class", "n", "m.address", "m.sig")
     rep = scratch.put(rep.join(met, "class", "left_semi"), "rep")
+    members = scratch.put(members.select("id", "address", "n", "class"), "members")  # without prefixes and bitmaps
     stars = blocks.select(F.col("hub").alias("a"), F.col("class").alias("b")).union(blocks.select(F.col("low").alias("a"), F.col("class").alias("b")))
     edges = scratch.put(bounded(stars, rep, percent), "edges-of-stars")
     found = components(edges, scratch, "clusters-of-stars")
 
-    rows = blocks.join(found, F.col("class") == F.col("node"), "left").select("key", "class", "n", "split", F.coalesce("component", "class").alias("component"))
+    rows = blocks.filter("split >= 0").join(found, F.col("class") == F.col("node"), "left").select("key", "class", "n", "reach", "split", F.coalesce("component", "class").alias("component"))
     rows = scratch.put(rows, "rows")
     several = scratch.put(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "several")
     mixed = scratch.put(rows.join(several, "key", "left_semi"), "mixed")
