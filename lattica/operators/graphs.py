@@ -1,25 +1,24 @@
 """Keyed diffs of two versions of a table, and graphs: levels, ranks, expansion counts and Merkle hashes.
 
 Graph operators relax all edges once a level and end when nothing changes; each
-level is one join and one partial aggregate, and lineage is cut by checkpoint().
+level is one join and one partial aggregate, and is written as a table, which
+cuts its lineage and the constraints that the optimizer would carry along.
 """
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.sources import read
+from lattica.storage import Scratch
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
-    return df.checkpoint()
+#: Levels of a graph, at most; a deeper one, or one with a cycle, is refused.
+MOST_DEPTH = 512
+#: Leading hex digits of a child's hash that name its bucket: no hash of a node is made of more than 16 ** 4 parts at once.
+BUCKET_DIGITS = 4
 
 
 # --- diffs
@@ -68,17 +67,31 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.floor(F.col("dst") / 2).alias("src"), "dst").union(p.filter("dst > 2").select(F.floor(F.col("dst") / 3), "dst")).distinct()
 
 
-def longest_path(graph: DataFrame) -> DataFrame:
-    """(node, rank): 0 without edges in, else one more than the largest rank before; raises for a cycle."""
-    nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
-    front, n = _checkpointed(nodes.withColumn("rank", F.lit(0))), nodes.count()
-    fronts = []
+def missing_nodes(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+    """(node) that an edge names but ``nodes`` (node) lacks."""
+    return graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct().join(nodes, "node", "left_anti")
+
+
+def longest_path(graph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, rank): 0 without edges in, else one more than the largest rank before.
+
+    With ``nodes`` (node), those without edges have a rank too, and an edge to a
+    node that is not among them raises ValueError; so does a cycle, or more than
+    ``MOST_DEPTH`` levels.
+    """
+    scratch = Scratch(graph.sparkSession, "longest-path")
+    if nodes is None:
+        nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
+    elif not (lost := missing_nodes(nodes, graph)).isEmpty():
+        raise ValueError(f"edges name nodes that are not there, as {lost.first()[0]}")
+    front, fronts = scratch.put(nodes.withColumn("rank", F.lit(0)), "0"), []
     while not front.isEmpty():
         fronts.append(front)
-        if len(fronts) > n:
-            raise ValueError("the graph has a cycle")
-        front = _checkpointed(front.join(graph, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("rank", F.lit(len(fronts))))
-    return reduce(DataFrame.union, fronts).groupBy("node").agg(F.max("rank").alias("rank"))
+        if len(fronts) > MOST_DEPTH:
+            raise ValueError("the graph has a cycle, or more levels than are allowed")
+        step = front.join(graph, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("rank", F.lit(len(fronts)))
+        front = scratch.put(step, str(len(fronts)))
+    return reduce(DataFrame.union, fronts).groupBy("node").agg(F.max("rank").alias("rank")) if fronts else nodes.withColumn("rank", F.lit(0))
 
 
 def longest_path_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +112,14 @@ def expansions(graph: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     """
     nodes = graph.select(F.col("src").alias("root")).union(graph.select("dst"))
     nodes = (nodes if alone is None else nodes.union(alone)).distinct()
-    front, n = _checkpointed(nodes.withColumn("paths", F.lit(1).cast("long"))), nodes.count()
-    levels = []
+    scratch = Scratch(graph.sparkSession, "expansions")
+    front, levels = scratch.put(nodes.withColumn("paths", F.lit(1).cast("long")), "0"), []
     while not front.isEmpty():
         levels.append(front)
-        if len(levels) > n:
-            raise ValueError("the graph has a cycle")
-        front = _checkpointed(graph.join(front, F.col("dst") == F.col("root")).groupBy(F.col("src").alias("root")).agg(F.sum("paths").alias("paths")))
+        if len(levels) > MOST_DEPTH:
+            raise ValueError("the graph has a cycle, or more levels than are allowed")
+        step = graph.join(front, F.col("dst") == F.col("root")).groupBy(F.col("src").alias("root")).agg(F.sum("paths").alias("paths"))
+        front = scratch.put(step, str(len(levels)))
     if not levels:
         return nodes.withColumn("visits", F.lit(1).cast("long"))
     return reduce(DataFrame.union, levels).groupBy("root").agg(F.sum("paths").alias("visits"))
@@ -121,25 +135,55 @@ def expansion_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expansions(edges(spark, sf_dir), read(spark, sf_dir, "part").select("p_partkey"))
 
 
-def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What can be reached from the sources 2 and 3, by whole frontiers."""
-    graph = edges(spark, sf_dir)
-    front = _checkpointed(spark.createDataFrame([(2, 2), (3, 3)], "root long, node long"))
-    fronts = []
-    while not front.isEmpty():
+def reachable(graph: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) for every node that paths from the ``roots`` (root) lead to, the root itself included, by whole frontiers."""
+    scratch = Scratch(graph.sparkSession, "reachable")
+    front, fronts = scratch.put(roots.select("root", F.col("root").alias("node")).distinct(), "0"), []
+    while not fronts or not front.isEmpty():
         fronts.append(front)
         step = front.join(graph, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = _checkpointed(step.join(reduce(DataFrame.union, fronts), ["root", "node"], "left_anti"))
-    return reduce(DataFrame.union, fronts).groupBy("root").agg(F.count(F.lit(1)).alias("n_nodes"))
+        front = scratch.put(step.join(reduce(DataFrame.union, fronts), ["root", "node"], "left_anti"), str(len(fronts)))
+    return reduce(DataFrame.union, fronts)
+
+
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes the sources 2 and 3 reach."""
+    return reachable(edges(spark, sf_dir), spark.createDataFrame([(2,), (3,)], "root long")).groupBy("root").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def merkle(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+    """(node, hash) of ``nodes`` (node, name) by edges from src to its children dst, from the leaves up.
+
+    A hash covers the node's own name and its children's hashes: these are dealt
+    to buckets by their first digits, each bucket has the hash of its sorted
+    members, and the node that of its name and of the buckets in order.  So a
+    node with very many children is summed up in bounded parts.
+    """
+    scratch = Scratch(nodes.sparkSession, "merkle")
+    height = scratch.put(longest_path(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes.select("node")), "height")
+    levels, top = [], height.agg(F.max("rank")).first()[0]
+    if top is None:
+        return nodes.select("node", F.lit(None).cast("string").alias("hash"))
+    own = nodes.join(height, "node")
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
+    for rank in range(top + 1):
+        now = own.filter(F.col("rank") == rank)
+        if levels:
+            below = graph.join(now, F.col("src") == F.col("node")).select("src", "dst").join(reduce(DataFrame.union, levels), F.col("dst") == F.col("node"))
+            buckets = below.groupBy("src", F.substring("hash", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sha2(joined("hash"), 256).alias("h")).select("src", F.struct("bucket", "h").alias("part"))
+            parts = buckets.groupBy(F.col("src").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["h"]), "").alias("parts"))
+            now = now.join(parts, "node", "left").withColumn("name", F.concat("name", F.coalesce("parts", F.lit(""))))
+        levels.append(scratch.put(now.select("node", F.sha2("name", 256).alias("hash")), f"level-{rank}"))
+    return reduce(DataFrame.union, levels)
 
 
 def merkle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A node's hash covers its own name and its children's sorted hashes: customers, then nations, then regions."""
-    c = read(spark, sf_dir, "customer").select("c_nationkey", F.sha2("c_name", 256).alias("h"))
-    n = read(spark, sf_dir, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_regionkey", "n_name").agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("k"))
-    n = n.select("n_regionkey", F.sha2(F.concat("n_name", "k"), 256).alias("h"))
-    r = read(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("k"))
-    return r.select("r_name", F.sha2(F.concat("r_name", "k"), 256).alias("hash"))
+    """The hashes of regions, over their nations and those nations' customers."""
+    r, n, c = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    key = lambda kind, col: F.concat(F.lit(kind), F.col(col).cast("string"))
+    nodes = r.select(key("r", "r_regionkey").alias("node"), F.col("r_name").alias("name")).union(n.select(key("n", "n_nationkey"), "n_name")).union(c.select(key("c", "c_custkey"), "c_name"))
+    graph = n.select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst")).union(c.select(key("n", "c_nationkey"), key("c", "c_custkey")))
+    return merkle(nodes, graph).join(r.select(key("r", "r_regionkey").alias("node"), "r_name"), "node").select("r_name", "hash")
 
 
 def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +210,9 @@ SELECT id, x.p AS path, x.o AS old, x.n AS "new" FROM f WHERE x.o IS DISTINCT FR
     "topo_levels": f"{_R} SELECT rank, count(*) AS n_nodes FROM r GROUP BY 1",
     "expansion_counts": f"WITH RECURSIVE {_G}, w AS (SELECT node AS root, node, 1 AS depth FROM v WHERE node <= 20 UNION ALL SELECT w.root, e.dst, depth + 1 FROM w JOIN e ON e.src = w.node) SELECT root, count(*) AS visits FROM w GROUP BY 1",
     "reachability": f"WITH RECURSIVE {_G}, w AS (SELECT CAST(node AS BIGINT) AS root, CAST(node AS BIGINT) AS node FROM (VALUES (2), (3)) s(node) UNION SELECT w.root, e.dst FROM w JOIN e ON e.src = w.node) SELECT root, count(*) AS n_nodes FROM w GROUP BY 1",
-    "merkle_hash": """WITH n AS (SELECT n_regionkey, sha256(n_name || coalesce(string_agg(sha256(c_name), '' ORDER BY sha256(c_name)), '')) AS h FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_regionkey, n_name)
-SELECT r_name, sha256(r_name || coalesce(string_agg(h, '' ORDER BY h), '')) AS hash FROM region LEFT JOIN n ON r_regionkey = n_regionkey GROUP BY r_name""",
+    "merkle_hash": """WITH c AS (SELECT c_nationkey AS k, sha256(c_name) AS h FROM customer), cb AS (SELECT k, left(h, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM c GROUP BY 1, 2),
+n AS (SELECT n_regionkey AS k, sha256(n_name || coalesce(string_agg(p, '' ORDER BY b), '')) AS h FROM nation LEFT JOIN cb ON n_nationkey = cb.k GROUP BY n_nationkey, n_regionkey, n_name),
+nb AS (SELECT k, left(h, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM n GROUP BY 1, 2)
+SELECT r_name, sha256(r_name || coalesce(string_agg(p, '' ORDER BY b), '')) AS hash FROM region LEFT JOIN nb ON r_regionkey = nb.k GROUP BY r_regionkey, r_name""",
     "incremental_plan": f"WITH {_D} SELECT b.id, CASE WHEN a.id IS NOT NULL THEN 'hit' ELSE 'miss' END AS state FROM b LEFT JOIN a ON a.id = b.id AND (a.o_orderstatus, a.o_orderpriority, a.price) IS NOT DISTINCT FROM (b.o_orderstatus, b.o_orderpriority, b.price)",
 }

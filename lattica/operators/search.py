@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import clamp, dot, norm, ppm, tokens
 from lattica.sources import read
+from lattica.storage import Scratch
 
 
 def scored_vectors(vectors: DataFrame, query: DataFrame) -> DataFrame:
@@ -32,33 +34,42 @@ def vector_meanpool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("m") / length * 1e4).cast("long").alias("x"))
 
 
-def suppress_overlaps(matches: DataFrame, by: list[str], start: str, end: str, rank: list, limit: int) -> DataFrame:
-    """Greedy suppression: rows in rank order within each group, one that overlaps a kept one goes, ``limit`` stay in all.
+def suppress_overlaps(matches: DataFrame, by: list[str], start: str, end: str, best: list[Column], limit: int) -> DataFrame:
+    """Greedy suppression: rows from the best on, one that overlaps a kept one of its group goes, ``limit`` stay in all.
 
+    ``best`` orders rows, greatest first, and no two rows of a group alike.
     Suppression never crosses groups, so each group keeps its own and the limit
-    is taken over all at last.  A group is one source; its matches are few.
-    """
-    order = Window.partitionBy(*by).orderBy(*rank)
-    ranked = matches.withColumn("_rank", F.row_number().over(order))
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, spans = [], []
-        for i, (s, e) in enumerate(rows.sort_values("_rank")[[start, end]].itertuples(index=False)):
-            if all(not (s < b and a < e) for a, b in spans):
-                spans.append((s, e))
-                kept.append(i)
-        return rows.sort_values("_rank").iloc[kept]
+    is taken over all at last.
 
-    return ranked.groupBy(*by).applyInPandas(keep, ranked.schema).drop("_rank").orderBy(*rank).limit(limit)
+    Rounds, each over all rows not decided yet: spans lie in cells of the largest
+    length, in two at most; a row that is the best of all its cells is the best of
+    all it overlaps, so greedy keeps it, and what overlaps a kept row goes.  Kept
+    rows don't overlap, so a cell has few of them, and no group is ever gathered.
+    """
+    scratch = Scratch(matches.sparkSession, "suppress")
+    rows = scratch.put(matches.withColumns({"_best": F.struct(*best), "_row": F.monotonically_increasing_id()}), "open")
+    width = rows.agg(F.max(F.col(end) - F.col(start))).first()[0]
+    if width is None:
+        return matches.limit(limit)
+    width = max(width, 1)
+    cells = F.explode(F.sequence(F.floor(F.col(start) / width), F.greatest(F.floor(F.col(start) / width), F.ceil(F.col(end) / width) - 1))).alias("_cell")
+    kept = []
+    while not rows.isEmpty():
+        dealt = rows.select(*by, start, end, "_best", "_row", cells)
+        tops = dealt.groupBy(*by, "_cell").agg(F.max(F.struct("_best", "_row")).alias("_top"))
+        won = dealt.join(tops, [*by, "_cell"]).groupBy("_row").agg(F.min(F.col("_top._row") == F.col("_row")).alias("_won")).filter("_won").select("_row")
+        kept.append(scratch.put(rows.join(won, "_row", "left_semi"), f"kept-{len(kept)}"))
+        wall = kept[-1].select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(F.floor(F.col(start) / width), F.greatest(F.floor(F.col(start) / width), F.ceil(F.col(end) / width) - 1))).alias("_cell"))
+        gone = dealt.join(wall, [*by, "_cell"]).filter((F.col(start) < F.col("_e")) & (F.col("_s") < F.col(end))).select("_row").distinct()
+        rows = scratch.put(rows.join(gone.union(won).distinct(), "_row", "left_anti"), "open")
+    return reduce(DataFrame.union, kept).orderBy(F.desc("_best")).limit(limit).drop("_best", "_row")
 
 
 def vector_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best matches when vectors of a label are spans of 10 every 4 places."""
     v = read(spark, sf_dir, "embeddings")
     s = scored_vectors(v, v.filter("vec_id = 0")).select("vec_id", "label", "score_ppm", (F.col("vec_id") * 4).alias("start"), (F.col("vec_id") * 4 + 10).alias("end"))
-    return suppress_overlaps(s, ["label"], "start", "end", [F.desc("score_ppm"), F.asc("vec_id")], 50)
-
-
+    return suppress_overlaps(s, ["label"], "start", "end", [F.col("score_ppm"), (-F.col("vec_id")).alias("tie")], 50)
 
 
 def having_words(docs: DataFrame, *words: str) -> DataFrame:
@@ -127,6 +138,11 @@ QUERIES = {f.__name__: f for f in (vector_topk, vector_meanpool_by_label, vector
 _V = """q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, label, CAST(floor(round(greatest(-1, least(1, list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q) / (sqrt(list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_inner_product(q, q))))), 9) * 1e6 + 0.5) AS BIGINT) AS score_ppm FROM embeddings, q)"""
 ORACLES = {
+    "vector_nms": f"""WITH RECURSIVE {_V}, o AS (SELECT label, vec_id, score_ppm, vec_id * 4 AS start, vec_id * 4 + 10 AS "end", row_number() OVER (PARTITION BY label ORDER BY score_ppm DESC, vec_id) AS k FROM s),
+g AS (SELECT label, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT label FROM o)
+  UNION ALL SELECT g.label, o.k, CASE WHEN len(list_filter(g.kept, lambda x: o.start < x + 10 AND x < o."end")) = 0 THEN list_append(g.kept, o.start) ELSE g.kept END FROM g JOIN o ON o.label = g.label AND o.k = g.k + 1),
+w AS (SELECT label, unnest(arg_max(kept, k)) AS start FROM g GROUP BY label)
+SELECT vec_id, label, score_ppm, start, "end" FROM o JOIN w USING (label, start) ORDER BY score_ppm DESC, vec_id LIMIT 50""",
     "vector_topk": f"WITH {_V}, r AS (SELECT *, CAST(row_number() OVER (ORDER BY score_ppm DESC, vec_id) AS INTEGER) AS place FROM s WHERE score_ppm >= 0) SELECT vec_id, label, score_ppm, place FROM r WHERE place <= 10",
     "vector_meanpool_by_label": """WITH n AS (SELECT label, e, sqrt(list_inner_product(e, e)) AS n FROM (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
 p AS (SELECT label, unnest(range(64)) AS pos, unnest(e) / n AS x FROM n), m AS (SELECT label, pos, avg(x) AS m FROM p GROUP BY 1, 2)

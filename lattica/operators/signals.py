@@ -6,8 +6,12 @@ partitioned by user, so users spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions import round_half_up
 from lattica.sources import read
@@ -99,12 +103,31 @@ def change_events(spark: SparkSession, sf_dir: str, step: int = 1000) -> DataFra
     return moved.select("user_id", "i", "level").unionByName(last)
 
 
+def envelopes(rows: DataFrame, by: str, order: str, value: str, up: int = 500, down: int = 100) -> DataFrame:
+    """(by, order, envelope): an envelope that rises fast and falls slowly, in whole numbers.
+
+    env += (x - env) * (up or down) // 1000 from the first value on.  Each value
+    needs the one before, so a ``by`` is walked in order, as a stream with one
+    number carried on and nothing gathered.
+    """
+    schema = T.StructType([rows.schema[by], rows.schema[order], T.StructField("envelope", T.LongType())])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, env = None, 0  # keys are never null here
+        for rb in batches:
+            out = []
+            for key, x in zip(rb.column(by).to_pylist(), rb.column(value).to_pylist()):
+                env = env + (x - env) * (up if x > env else down) // 1000 if key == who else x
+                who = key
+                out.append(env)
+            yield pa.RecordBatch.from_pydict({by: rb.column(by), order: rb.column(order), "envelope": pa.array(out, pa.int64())})
+
+    return rows.select(by, order, value).dropna().repartition(by).sortWithinPartitions(by, order).mapInArrow(walked, schema)
+
+
 def envelope_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An envelope that rises fast and falls slowly, in whole numbers: env += (x - env) * (500 up, 100 down) // 1000."""
-    s = samples(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("all"))
-    step = lambda env, x: env + F.floor((x["v"] - env) * F.when(x["v"] > env, 500).otherwise(100) / 1000).cast("long")
-    start = F.col("all")[0]["v"].cast("long")
-    return s.select("user_id", F.aggregate(F.slice("all", 2, 1 << 30), start, step).alias("envelope"), F.size("all").cast("long").alias("n_samples"))
+    """The envelope at every sample."""
+    return envelopes(samples(spark, sf_dir), "user_id", "i", "v")
 
 
 def autocorr(spark: SparkSession, sf_dir: str, lags: int = 4) -> DataFrame:
@@ -115,6 +138,55 @@ def autocorr(spark: SparkSession, sf_dir: str, lags: int = 4) -> DataFrame:
     return sums.unpivot(["user_id"], [str(k) for k in range(1, lags + 1)], "lag", "product").withColumn("lag", F.col("lag").cast("long")).filter("product is not null")
 
 
+def correlated(rows: DataFrame, by: str, order: str, value: str, lags: range) -> DataFrame:
+    """(by, lag, score_ppm): sum x[i] x[i - lag] over the root of both sides' energies, as whole parts per million.
+
+    Only places that have a partner count; a lag without energy has no row.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    wide = rows.select(by, F.col(value).cast("double").alias("x"), *[F.lag(F.col(value).cast("double"), k).over(w).alias(f"y{k}") for k in lags])
+    part = lambda k, e: F.sum(F.when(F.col(f"y{k}").isNotNull(), e))
+    sums = wide.groupBy(by).agg(*[F.struct(F.lit(k).cast("long").alias("lag"), part(k, F.col("x") * F.col(f"y{k}")).alias("xy"), part(k, F.col("x") * F.col("x")).alias("xx"), part(k, F.col(f"y{k}") * F.col(f"y{k}")).alias("yy")).alias(f"s{k}") for k in lags])
+    each = sums.select(by, F.explode(F.array(*[F.col(f"s{k}") for k in lags])).alias("s")).select(by, "s.*").filter("xx > 0 and yy > 0")
+    return each.select(by, "lag", round_half_up(F.round(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")), 9) * 1e6).alias("score_ppm"))
+
+
+def spaced(scores: DataFrame, by: str, place: str, score: str, distance: int, most: int, lags: range) -> DataFrame:
+    """The best ``most`` places of each ``by`` of which no two are nearer than ``distance``; ties to the smaller place.
+
+    Greedy by score.  A ``by`` has at most as many rows as there are ``lags``, a
+    parameter, so its places fit one array and the choice is a fold over them.
+    """
+    if len(lags) > 4096:
+        raise ValueError("at most 4096 places can be spaced at once")
+    ranked = scores.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(place).alias("p")))).alias("all"))
+    free = lambda kept, x: (F.size(kept) < most) & ~F.exists(kept, lambda k: F.abs(k["p"] - x["p"]) < distance)
+    none = F.array().cast("array<struct<s:bigint,p:bigint>>")
+    chosen = F.aggregate("all", none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return ranked.select(by, F.posexplode(chosen).alias("i", "k")).select(by, (F.col("i") + 1).alias("place"), F.col("k.p").alias("lag"), (-F.col("k.s")).alias("score_ppm"))
+
+
+#: Lags of the tempo search.
+LAGS = range(2, 13)
+
+
+def tempo_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's three best lags, two apart at least."""
+    return spaced(correlated(samples(spark, sf_dir), "user_id", "i", "v", LAGS), "user_id", "lag", "score_ppm", 2, 3, LAGS)
+
+
+def comb_phases(rows: DataFrame, lags: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """(by, lag, phase, total): of each (by, lag), the phase whose samples at that stride sum to most; ties to the lowest."""
+    sums = rows.join(lags.select(by, "lag"), by).groupBy(by, "lag", (F.col(order) % F.col("lag")).alias("phase")).agg(F.sum(value).alias("total"))
+    best = sums.groupBy(by, "lag").agg(F.max(F.struct("total", (-F.col("phase")).alias("p"))).alias("m"))
+    return best.select(by, "lag", (-F.col("m.p")).alias("phase"), F.col("m.total").alias("total"))
+
+
+def comb_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phase of each of a user's best lags."""
+    return comb_phases(samples(spark, sf_dir), tempo_lags(spark, sf_dir), "user_id", "i", "v")
+
+
 def fir_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed filter of four taps, zeros before the first sample."""
     taps = (3, 2, 2, 1)
@@ -141,7 +213,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("s")
 
 
-QUERIES = {f.__name__: f for f in (hop_windows, section_rms, onset_diff, silence_islands, pauses, phrases, contours, emphasis, change_events, envelope_ema, autocorr, fir_filter, peak_first_tie, running_cursor, session_windows)}
+QUERIES = {f.__name__: f for f in (tempo_lags, comb_phase, hop_windows, section_rms, onset_diff, silence_islands, pauses, phrases, contours, emphasis, change_events, envelope_ema, autocorr, fir_filter, peak_first_tie, running_cursor, session_windows)}
 
 _S = """s AS (SELECT user_id, ts, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
 _P = """p0 AS (SELECT *, CASE WHEN lag(role) OVER o <> role OR regexp_matches(lag(text) OVER o, '[.!?]$') THEN 1 ELSE 0 END AS cut, CAST(length(text) AS BIGINT) AS size FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
@@ -169,7 +241,12 @@ SELECT p.conv_id, turn, p.role, size, median FROM p JOIN m ON p.conv_id = m.conv
 SELECT user_id, i, level FROM c WHERE level <> was UNION ALL SELECT user_id, n, 0 FROM l WHERE i = n - 1 AND level <> 0""",
     "envelope_ema": f"""WITH RECURSIVE {_S}, r AS (SELECT user_id, i, n, v AS envelope FROM s WHERE i = 0 UNION ALL
 SELECT s.user_id, s.i, s.n, r.envelope + CAST(floor((s.v - r.envelope) * (CASE WHEN s.v > r.envelope THEN 500 ELSE 100 END) / 1000.0) AS BIGINT) FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
-SELECT user_id, envelope, n AS n_samples FROM r WHERE i = n - 1""",
+SELECT user_id, i, envelope FROM r""",
+    "tempo_lags": f"""WITH {_S}, c AS (SELECT a.user_id, a.i - b.i AS lag, CAST(floor(round(sum(CAST(a.v AS DOUBLE) * b.v) / sqrt(sum(CAST(a.v AS DOUBLE) * a.v) * sum(CAST(b.v AS DOUBLE) * b.v)), 9) * 1e6 + 0.5) AS BIGINT) AS score_ppm FROM s a JOIN s b ON a.user_id = b.user_id AND a.i - b.i BETWEEN 2 AND 12 GROUP BY 1, 2 HAVING sum(a.v * a.v) > 0 AND sum(b.v * b.v) > 0),
+a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY c.user_id ORDER BY c.score_ppm DESC, c.lag) = 1),
+b AS (SELECT c.* FROM c JOIN a ON a.user_id = c.user_id AND abs(a.lag - c.lag) >= 2 QUALIFY row_number() OVER (PARTITION BY c.user_id ORDER BY c.score_ppm DESC, c.lag) = 1),
+d AS (SELECT c.* FROM c JOIN a ON a.user_id = c.user_id AND abs(a.lag - c.lag) >= 2 JOIN b ON b.user_id = c.user_id AND abs(b.lag - c.lag) >= 2 QUALIFY row_number() OVER (PARTITION BY c.user_id ORDER BY c.score_ppm DESC, c.lag) = 1)
+SELECT user_id, CAST(place AS INTEGER) AS place, lag, score_ppm FROM (SELECT user_id, 1 AS place, lag, score_ppm FROM a UNION ALL SELECT user_id, 2, lag, score_ppm FROM b UNION ALL SELECT user_id, 3, lag, score_ppm FROM d)""",
     "autocorr": f"""WITH {_S} SELECT a.user_id, a.i - b.i AS lag, CAST(sum(a.v * b.v) AS BIGINT) AS product FROM s a JOIN s b ON a.user_id = b.user_id AND a.i - b.i BETWEEN 1 AND 4 GROUP BY 1, 2""",
     "fir_filter": f"""WITH {_S} SELECT user_id, i, 3 * v + 2 * coalesce(lag(v) OVER o, 0) + 2 * coalesce(lag(v, 2) OVER o, 0) + coalesce(lag(v, 3) OVER o, 0) AS y FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts)""",
     "peak_first_tie": f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(v) DESC, i) AS k FROM s) SELECT user_id, abs(v) AS peak, i AS "at" FROM r WHERE k = 1""",
@@ -177,3 +254,6 @@ SELECT user_id, envelope, n AS n_samples FROM r WHERE i = n - 1""",
     "session_windows": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS cut FROM events),
 k AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM k GROUP BY user_id, k""",
 }
+ORACLES["comb_phase"] = ORACLES["tempo_lags"].rsplit("\nSELECT", 1)[0] + """, l AS (SELECT user_id, lag FROM a UNION ALL SELECT user_id, lag FROM b UNION ALL SELECT user_id, lag FROM d),
+p AS (SELECT s.user_id, l.lag, s.i % l.lag AS phase, CAST(sum(v) AS BIGINT) AS total FROM s JOIN l ON s.user_id = l.user_id GROUP BY 1, 2, 3)
+SELECT user_id, lag, phase, total FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lag ORDER BY total DESC, phase) AS k FROM p) WHERE k = 1"""

@@ -39,6 +39,23 @@ def planned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mean_cents", F.floor(F.col("average") * 100).cast("long")).drop("average")
 
 
+def planned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan whose order is carried from a sort through a join and a group to a series of points, by place."""
+    plan = q.Plan(
+        (ORDERS, CUSTOMER),
+        (
+            q.Sort("urgent", "orders", (("o_orderpriority", "desc"), ("o_totalprice", "asc"))),
+            q.Join("both", "urgent", "customer", (("o_custkey", "c_custkey"),), (("left", "o_orderkey", "id"), ("left", "o_totalprice", "price"), ("right", "c_name", "buyer"), ("right", "c_mktsegment", "segment")), ("id",)),
+            q.Group("by_buyer", "both", (("buyer", "buyer"), ("segment", "segment"))),
+            q.Aggregate("sums", "by_buyer", (("count", None, "n_rows"), ("sum", "price", "total"))),
+            q.Series("points", "sums", "segment", ("n_rows", "total")),
+        ),
+        "points",
+    )
+    tables = {s.name: q.conformed(read(spark, sf_dir, s.name), s, [F.col(s.key[0])]) for s in plan.sources}
+    return q.placed(q.execute(plan, tables))
+
+
 def join_projection_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("buyer"), F.col("o_orderpriority").alias("priority"))
@@ -107,9 +124,12 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("op", F.lit(op)) for op, df in parts.items()])
 
 
-QUERIES = {f.__name__: f for f in (filter_predicate_tree, planned_query, join_projection_keyed, join_cardinality, join_coverage, group_first_seen, agg_exact_decimal, sort_stable_rank, count_by, key_uniqueness, schema_contract, rollup_extension, set_operations)}
+QUERIES = {f.__name__: f for f in (filter_predicate_tree, planned_query, planned_series, join_projection_keyed, join_cardinality, join_coverage, group_first_seen, agg_exact_decimal, sort_stable_rank, count_by, key_uniqueness, schema_contract, rollup_extension, set_operations)}
 
 ORACLES = {
+    "planned_series": """WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority DESC, CAST(o_totalprice AS DECIMAL(38,6)), o_orderkey) AS r FROM orders),
+g AS (SELECT c_name AS buyer, c_mktsegment AS segment, min(r) AS r, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(38,6))) AS t FROM o JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT CAST(row_number() OVER (ORDER BY r) AS BIGINT) AS place, buyer, segment, CAST(n AS DECIMAL(38,6)) AS n_rows, CAST(t AS DECIMAL(38,6)) AS total FROM g""",
     "filter_predicate_tree": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
 WHERE l_quantity >= 25 AND (l_returnflag = 'R' OR l_linestatus <> 'O') AND NOT (l_discount > 0.05)""",
     "planned_query": """SELECT c_mktsegment AS segment, CAST(count(*) AS DECIMAL(38,6)) AS n_rows, CAST(sum(CAST(o_totalprice AS DECIMAL(28,6))) AS DECIMAL(38,6)) AS total,

@@ -9,6 +9,8 @@ or the caller asks for it.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
@@ -17,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.storage import Scratch
+
 NUMBER, STRING, BOOLEAN, DATE = "number", "string", "boolean", "date"
 #: Spark types of exact numbers; wide enough for sums of money at any scale.
 DECIMAL = "decimal(38,6)"
@@ -140,6 +144,18 @@ def _check_predicate(p, shape: _Shape, path: str) -> None:
     _need(p.field in shape.fields, "UNKNOWN_FIELD", path, p.field)
     _need(shape.fields[p.field] != BOOLEAN or p.op in ("eq", "ne"), "PREDICATE_TYPE", path, "booleans have no order")
     _need(p.value is not None, "PREDICATE_VALUE", path, "a literal is needed")
+    _need(_literal_fits(p.value, shape.fields[p.field]), "PREDICATE_TYPE", path, f"{p.value!r} is no {shape.fields[p.field]}")
+
+
+def _literal_fits(value, kind: str) -> bool:
+    if kind == NUMBER:
+        return isinstance(value, (int, float, decimal.Decimal)) and not isinstance(value, bool)
+    if kind == DATE and isinstance(value, str):
+        try:
+            return datetime.date.fromisoformat(value).isoformat() == value
+        except ValueError:
+            return False
+    return isinstance(value, {STRING: str, BOOLEAN: bool, DATE: datetime.date}[kind]) and not isinstance(value, datetime.datetime)
 
 
 def check(plan: Plan) -> _Shape:
@@ -184,6 +200,7 @@ def check(plan: Plan) -> _Shape:
         elif isinstance(s, Group):
             _need(bool(s.by) and all(f in shape.fields for f, _ in s.by), "GROUP_KEYS", path, "at least one known field")
             _need(len({new for _, new in s.by}) == len(s.by), "DUPLICATE_FIELD", path, "aliases repeat")
+            _need(len({f for f, _ in s.by}) == len(s.by), "DUPLICATE_FIELD", path, "an input field repeats")
             seen[s.name] = _Shape(shape.fields, tuple(new for _, new in s.by), "group", s.by)
         elif isinstance(s, Aggregate):
             out = {new: shape.fields[f] for f, new in shape.group}
@@ -227,22 +244,49 @@ def conformed(df: DataFrame, source: Source, ordinal: list[Column]) -> DataFrame
     return df.select(*[F.col(f).cast(_CASTS[t]).alias(f) for f, t in source.fields], F.struct(*[c.alias(f"o{i}") for i, c in enumerate(ordinal)]).alias("_ord"))
 
 
-def execute(plan: Plan, tables: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+def _assert_key(df: DataFrame, key: tuple[str, ...], code: str, path: str) -> None:
+    """Refuses rows whose declared key is null or repeats, naming one of them."""
+    lost = df.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])).select(*key)
+    again = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+    if found := lost.unionByName(again).first():
+        raise QueryError(code, path, f"the key {key} has {tuple(found)} as null or more than once")
+
+
+def _ascending(c: Column, kind: str, direction: str) -> Column:
+    """A value that orders upward as ``c`` does in ``direction``, with nulls where Spark has them."""
+    if direction == "asc":
+        return F.struct(c.isNotNull(), c)
+    if kind == STRING:  # bytes inverted; an end mark behind them puts longer texts first
+        turned = F.concat(F.translate(F.hex(F.encode(c, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    else:
+        turned = {NUMBER: lambda: -c, BOOLEAN: lambda: ~c, DATE: lambda: -F.datediff(c, F.lit("1970-01-01").cast("date"))}[kind]()
+    return F.struct(c.isNull(), turned)
+
+
+def execute(plan: Plan, tables: dict[str, DataFrame], *, verify: bool = True) -> tuple[DataFrame, list[str]]:
     """The result with its order; ``tables`` are conformed sources by name.  ``ordered`` sorts it.
 
     A sort only notes by what to order.  Where a later join or group needs the
-    sorted places themselves, rows are ranked, which gathers them in one task.
+    sorted places, the sort's values go in front of the rows' ordinals, each
+    turned so that it orders upward: nothing is ranked or gathered.
+
+    With ``verify``, the declared keys of sources and join results are checked
+    on the data, one aggregate each, before the result is returned.
     """
     check(plan)
+    shapes = {s.name: check(Plan(plan.sources, plan.steps, s.name)) for s in (*plan.sources, *plan.steps) if not isinstance(s, Group)}
     seen, groups, sorts = dict(tables), {}, {}
+    if verify:
+        for i, source in enumerate(plan.sources):
+            _assert_key(tables[source.name], source.key, "SOURCE_KEY", f"sources[{i}]")
 
     def placed(name: str) -> DataFrame:
         if name not in sorts:
             return seen[name]
-        order = Window.orderBy(*_directed(sorts[name]), "_ord")
-        return seen[name].withColumn("_ord", F.struct(F.row_number().over(order).alias("place")))
+        turned = [_ascending(F.col(c), kind, d).alias(f"s{i}") for i, (c, d, kind) in enumerate(sorts[name])]
+        return seen[name].withColumn("_ord", F.struct(*turned, F.col("_ord").alias("rest")))
 
-    for s in plan.steps:
+    for at, s in enumerate(plan.steps):
         if isinstance(s, (Filter, Series)) and s.input in sorts:
             sorts[s.name] = sorts[s.input]
         if isinstance(s, Filter):
@@ -252,6 +296,8 @@ def execute(plan: Plan, tables: dict[str, DataFrame]) -> tuple[DataFrame, list[s
             left, right = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]), right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
             both = left.join(right, reduce(lambda a, b: a & b, [F.col(f"l_{a}") == F.col(f"r_{b}") for a, b in s.on]))
             seen[s.name] = both.select(*[F.col(f"{side[0]}_{f}").alias(new) for side, f, new in s.select], F.struct(F.col("l__ord").alias("l"), F.col("r__ord").alias("r")).alias("_ord"))
+            if verify:
+                _assert_key(seen[s.name], s.key, "JOIN_RESULT_KEY", f"steps[{at}]")
         elif isinstance(s, Group):
             groups[s.name] = (s.input, s.by)
         elif isinstance(s, Aggregate):
@@ -261,12 +307,12 @@ def execute(plan: Plan, tables: dict[str, DataFrame]) -> tuple[DataFrame, list[s
         elif isinstance(s, Sort):
             kept = {f"_sort{len(seen)}_{i}": F.col(f) for i, (f, _) in enumerate(s.by)}
             seen[s.name] = seen[s.input].withColumns(kept)
-            sorts[s.name] = [*((c, d) for c, (_, d) in zip(kept, s.by)), *sorts.get(s.input, [])]
+            sorts[s.name] = [*((c, d, shapes[s.name].fields[f]) for c, (f, d) in zip(kept, s.by)), *sorts.get(s.input, [])]
         elif isinstance(s, Series):
             shape = [c for c in dict.fromkeys((*_key_of(plan, s.input), s.x, *s.values))]
-            seen[s.name] = seen[s.input].select(*shape, *[c for c, _ in sorts.get(s.input, [])], "_ord")
+            seen[s.name] = seen[s.input].select(*shape, *[c for c, _, _ in sorts.get(s.input, [])], "_ord")
     out = seen[plan.result]
-    return out.select(*[c for c in out.columns if not c.startswith("_")], F.struct(*[F.col(c) for c, _ in sorts.get(plan.result, [])], "_ord").alias("_ord")), [d for _, d in sorts.get(plan.result, [])]
+    return out.select(*[c for c in out.columns if not c.startswith("_")], F.struct(*[F.col(c) for c, _, _ in sorts.get(plan.result, [])], "_ord").alias("_ord")), [d for _, d, _ in sorts.get(plan.result, [])]
 
 
 def _directed(sort: list[tuple[str, str]]) -> list[Column]:
@@ -284,6 +330,19 @@ def ordered(result: tuple[DataFrame, list[str]]) -> DataFrame:
     return df.orderBy(*_directed([(f"_ord.{n}", d) for n, d in zip(names, [*directions, "asc"])])).drop("_ord")
 
 
+def placed(result: tuple[DataFrame, list[str]]) -> DataFrame:
+    """The rows with their places, from 1: sorted over all tasks and written, then counted on from the partitions before."""
+    df, directions = result
+    names, columns = df.schema["_ord"].dataType.names, [c for c in df.columns if c != "_ord"]
+    rows = df.orderBy(*_directed([(f"_ord.{n}", d) for n, d in zip(names, [*directions, "asc"])])).drop("_ord")
+    rows = Scratch(df.sparkSession, "placed").put(rows.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    # a row for each partition of the sort
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_part").select((F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("place"), *columns)
+
+
 def long_form(df: DataFrame, key: list[str], x: str, values: list[str]) -> DataFrame:
     """One row for each point and value column."""
     return df.unpivot([*key, x], values, "series", "value")
