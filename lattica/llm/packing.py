@@ -73,10 +73,10 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        closing = np.array([CLOSING_ID], "<u4").tobytes()
+        closing, encoder = np.array([CLOSING_ID], "<u4").tobytes(), tz.Encoder(path, kind)
         for rb in batches:
             n, crcs = np.zeros(rb.num_rows, np.int64), []
-            for i, ids in enumerate(tz.token_ids(rb.column(text_col), path, kind)):
+            for i, ids in enumerate(tz.token_ids(rb.column(text_col), encoder)):
                 raw = ids.astype("<u4").tobytes() + closing
                 n[i] = len(raw) // 4
                 crcs.append([zlib.crc32(raw[a : a + 4 * size]) for a in range(0, len(raw), 4 * size)])

@@ -9,9 +9,10 @@ strengths estimated from how much the groups really differ (method of moments).
 A document's posterior is its own evidence on top of its path's rate, which is
 taken without the document itself.
 
-Texts are read twice and never shuffled: once for the groups' sums, once for the
-decisions, when the groups' table is joined (Spark broadcasts it where it is
-small, and splits skewed keys where it isn't).
+Each text is scored once and never shuffled: documents and their evidence are
+written to the shared folder (without texts, if the result has none), summed by
+group, and read again for the decisions, when the groups' table is joined (Spark
+broadcasts it where it is small, and splits skewed keys where it isn't).
 
 Defined cases: a null host or path is a group of its own, named ""; texts
 without words, null ones included, are no good (posterior 0) and not toxic, and
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 from lattica.llm import textkit as tk
 from lattica.llm.shared import written
 
-#: Labelled rows that the classifier is fitted to, at most.
-FIT_ROWS = 6000
+#: Labelled rows that the classifier is fitted to, and bytes of their texts, at most.
+FIT_ROWS, FIT_BYTES = 6000, 24 << 20
 #: A word is a feature if so many documents of the sample have it.
 LEAST_DOCUMENTS = 6
 #: A word speaks for a target only if its rates among the target's two kinds differ by so many standard errors.
@@ -125,15 +126,14 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 300, l2: floa
     words = words[times >= LEAST_DOCUMENTS]
     rows, cols = [], []
     for k in range(MEASURES):
-        rows.append(np.arange(n))
-        cols.append(k * BARS + np.searchsorted(edges[k], m[:, k], side="right"))
-    own = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)])
-    every = np.concatenate(sets)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, every), len(words) - 1)
-        hit = words[at] == every
-        rows.append(own[hit])
-        cols.append(MEASURES * BARS + at[hit])
+        rows.append(np.arange(n, dtype=np.int32))
+        cols.append((k * BARS + np.searchsorted(edges[k], m[:, k], side="right")).astype(np.int32))
+    for i, s in enumerate(sets if len(words) else ()):
+        at = np.minimum(np.searchsorted(words, s), len(words) - 1)
+        at = at[words[at] == s]
+        rows.append(np.full(len(at), i, np.int32))
+        cols.append((MEASURES * BARS + at).astype(np.int32))
+    sets.clear()
     rows, cols = np.concatenate(rows), np.concatenate(cols)
     width = MEASURES * BARS + len(words)
     weights, base = np.zeros((width, len(TARGETS))), np.zeros(len(TARGETS))
@@ -162,12 +162,24 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 300, l2: floa
     return Classifier(edges, weights[: MEASURES * BARS].reshape(MEASURES, BARS, -1), words[used[MEASURES * BARS :]], weights[MEASURES * BARS :][used[MEASURES * BARS :]], base)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> Classifier:
-    """The classifier of a sample of at most ``fit_rows`` labelled documents, chosen by the ids' hashes."""
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Classifier:
+    """The classifier of a sample of labelled documents, taken in order of the ids' hashes, whole texts each, as long as
+    they are at most ``fit_rows`` rows and ``fit_bytes`` bytes."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), *[F.col(t) for t in TARGETS]).dropna().dropDuplicates(["id"])
     chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(fit_rows))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id").orderBy("id", F.xxhash64("text")).limit(fit_rows).collect()
-    return fit([r["text"] for r in rows], np.array([[r[t] for t in TARGETS] for r in rows]).reshape(len(rows), len(TARGETS)))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sizes = rows.join(chosen, "id").select("id", F.xxhash64("text").alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), *TARGETS).distinct()
+    total, taken = 0, {}
+    for r in sizes.orderBy(F.xxhash64("id"), "id", "mark").limit(fit_rows).collect():
+        total += r["size"]
+        if total <= fit_bytes:
+            taken[r["id"], r["mark"]] = [r[t] for t in TARGETS]
+    if not taken:
+        return fit([], np.zeros((0, len(TARGETS))))
+    keys = docs.sparkSession.createDataFrame(list(taken), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType())]))
+    texts = {(r["id"], r["mark"]): r["text"] for r in rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(keys), ["id", "mark"]).dropDuplicates(["id", "mark"]).collect()}
+    order = sorted(texts)
+    return fit([texts[k] for k in order], np.array([taken[k] for k in order]))
 
 
 def scored(docs: DataFrame, classifier: Classifier, *, text_col: str, keep_text: bool = True) -> DataFrame:
@@ -228,12 +240,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column
     known = labels.select(*TARGETS).dropna().agg(*[F.avg(t).alias(t) for t in TARGETS]).first()
     base = {t: float(np.log(r / (1 - r))) if (r := min(max(known[t] if known[t] is not None else 0.5, 0.01), 0.99)) else 0.0 for t in TARGETS}
     site = [F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path")]
-    rates = site_rates(scored(docs.select(*site, F.col(f"`{text_col}`").alias("text")), model, text_col="text", keep_text=False), base)
-
     own = [c for c in docs.columns if c not in RESULTS and (columns is None or c in columns)]
     rest = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in own if c != text_col]).alias("own")
     packed = docs.select(rest, *site, F.col(f"`{text_col}`").alias("text"))
-    judged = scored(packed, model, text_col="text", keep_text=text_col in own).join(rates, ["host", "path"], "left")
+    evidence = written(scored(packed, model, text_col="text", keep_text=text_col in own), "evidence")
+    judged = evidence.join(site_rates(evidence, base), ["host", "path"], "left")
     out = {}
     for t in TARGETS:
         e = F.col(f"e_{t}")

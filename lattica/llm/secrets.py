@@ -21,7 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -313,31 +313,41 @@ def find(texts: tk.Texts, weights: np.ndarray, transitions: np.ndarray) -> dict[
         for d in np.unique(doc).tolist():
             lead = np.concatenate([[0], np.cumsum((texts.data[texts.bounds[d] : texts.bounds[d + 1]] & 0xC0) != 0x80)])
             known = out.get(d, [])
-            base = list(known)
-            for a, b in zip(begin[doc == d] - texts.bounds[d], end[doc == d] - texts.bounds[d]):
-                a, b = int(lead[a]), int(lead[b])
-                if not any(a < e and s < b for _, s, e in base):
-                    known.append(("crf", a, b))
+            # how many base spans begin before a point, and how many end by it: all, unless one lies across
+            opens, closes = np.sort([s for _, s, _ in known]), np.sort([e for _, _, e in known])
+            a, b = lead[begin[doc == d] - texts.bounds[d]], lead[end[doc == d] - texts.bounds[d]]
+            free = np.searchsorted(opens, b, side="left") == np.searchsorted(closes, a, side="right")
+            known = known + [("crf", int(x), int(y)) for x, y in zip(a[free], b[free])]
             if known:
                 out[d] = sorted(known, key=lambda s: (s[1], KINDS.index(s[0])))
     return out
 
 
-def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``: the kind, start and end (code points, end exclusive) of each secret."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"])
+def _scanned(docs: DataFrame, finish: Callable[[pa.RecordBatch, list[list[tuple]]], pa.RecordBatch], schema: T.StructType, text_col: str) -> DataFrame:
+    """Rows that ``finish`` makes of a batch and the spans (kind, start, end) of its texts."""
     known = docs.sparkSession.sparkContext.broadcast(model())
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            spans = [[] for _ in range(rb.num_rows)]
+            spans: list[list[tuple]] = [[] for _ in range(rb.num_rows)]
             for part in tk.rounds(rb.column(text_col)):
                 for i, found in find(part, *known.value).items():
-                    spans[part.rows.start + i] = [dict(zip(SPAN.names, s)) for s in found]
-            yield pa.RecordBatch.from_pydict({c: rb.column(c) for c in rb.schema.names} | {"secrets": pa.array(spans, span)})
+                    spans[part.rows.start + i] = found
+            yield finish(rb, spans)
 
-    return kept.mapInArrow(scanned, T.StructType([*kept.schema.fields, T.StructField("secrets", T.ArrayType(SPAN))]))
+    return docs.mapInArrow(scanned, schema)
+
+
+def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``secrets``: the kind, start and end (code points, end exclusive) of each secret."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"])
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def finish(rb: pa.RecordBatch, spans: list[list[tuple]]) -> pa.RecordBatch:
+        found = pa.array([[dict(zip(SPAN.names, s)) for s in own] for own in spans], span)
+        return pa.RecordBatch.from_pydict({c: rb.column(c) for c in rb.schema.names} | {"secrets": found})
+
+    return _scanned(kept, finish, T.StructType([*kept.schema.fields, T.StructField("secrets", T.ArrayType(SPAN))]), text_col)
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,23 +361,21 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All documents, every secret in their texts replaced by ``mark``; overlapping ones by a single mark."""
-    given = {c: f"__own_{c}" for c in docs.columns if c == "secrets"}
-    found = scan(docs.withColumnsRenamed(given), text_col=text_col)
 
-    def hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            texts = [_hide(t, spans, mark) if spans else t for t, spans in zip(rb.column(text_col).to_pylist(), rb.column("secrets").to_pylist())]
-            yield pa.RecordBatch.from_pydict({c: pa.array(texts, rb.column(c).type) if c == text_col else rb.column(c) for c in rb.schema.names if c != "secrets"})
+    def finish(rb: pa.RecordBatch, spans: list[list[tuple]]) -> pa.RecordBatch:
+        if not any(spans):
+            return rb
+        texts = [_hide(t, own, mark) if own else t for t, own in zip(rb.column(text_col).to_pylist(), spans)]
+        return pa.RecordBatch.from_pydict({c: pa.array(texts, rb.column(c).type) if c == text_col else rb.column(c) for c in rb.schema.names})
 
-    schema = T.StructType([f for f in found.schema.fields if f.name != "secrets"])
-    return found.mapInArrow(hidden, schema).withColumnsRenamed({v: k for k, v in given.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scanned(docs, finish, docs.schema, text_col)
 
 
-def _hide(text: str, spans: list[dict], mark: str) -> str:
+def _hide(text: str, spans: list[tuple], mark: str) -> str:
     out, at = [], 0
-    for s in spans:
-        if s["end"] > at:
-            if s["start"] >= at:
-                out += [text[at : s["start"]], mark]
-            at = s["end"]
+    for _, start, end in spans:
+        if end > at:
+            if start >= at:
+                out += [text[at:start], mark]
+            at = end
     return "".join([*out, text[at:]])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled by one round of numpy passes; one longer text is a round of its own.
-ROUND_BYTES = 2 << 20
+ROUND_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20

@@ -90,7 +90,7 @@ def append_misses(docs: DataFrame, cache_path: str, *, text_col: str = "text", t
         texts = texts.join(known, "digest", "left_anti")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tz.encoder(path, kind)
+        enc = tz.Encoder(path, kind)
         for rb in _first_of_each(batches):
             n = np.zeros(rb.num_rows, np.int64)
             for part in tk.rounds(rb.column("normal")):

@@ -100,7 +100,10 @@ class Memo:
 
 
 class Encoder:
-    """Token ids, or counts of them, by the vocabulary file at ``path``; ``kind`` is how it cuts words."""
+    """Token ids, or counts of them, by the vocabulary file at ``path``; ``kind`` is how it cuts words.
+
+    A task makes its own and drops it with its words, so that a reused Python process doesn't keep them.
+    """
 
     def __init__(self, path: str, kind: str) -> None:
         if kind not in (WORD_BPE, BYTE_BPE):
@@ -214,12 +217,6 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
 
 
-@functools.cache
-def encoder(path: str, kind: str) -> Encoder:
-    """The encoder of this Python process."""
-    return Encoder(path, kind)
-
-
-def token_ids(column: pa.Array, path: str, kind: str) -> Iterable[np.ndarray]:
+def token_ids(column: pa.Array, encoder: Encoder) -> Iterable[np.ndarray]:
     for part in tk.rounds(column):
-        yield from encoder(path, kind).encode(part)
+        yield from encoder.encode(part)
