@@ -60,13 +60,15 @@ WORDS, PERCENT = 5, 80
 #: 64-bit words of a bitmap signature, at least; they double until there are four bits a shingle.
 SIGNATURE = 4
 #: A shingle is reported as common from so many classes within one stretch of a task on.
-COMMON_FROM, STRETCH = 4, 1 << 21
+COMMON_FROM, STRETCH = 2, 1 << 21
 #: Common shingles in the broadcast order; those beyond it are ordered by hash like all others.
-COMMON_MOST = 1 << 17
+COMMON_MOST = 1 << 18
 #: Classes of a block's part; blocks of shingles that are known to be more common are streamed in several parts.
 PART = 1 << 16
 #: Rows and shingles of a tile's part; larger tiles are dealt to cells of two parts each.
 CELL, CELL_SHINGLES = 1024, 1 << 20
+#: A shingle's place in its set's order, and above it the set's size, in one number.
+PLACE_BITS = 31
 #: Cells of so many rows at most are compared side by side.
 FEW = 32
 #: Rows that are broadcast when documents are left out; more are joined by a shuffle.
@@ -176,7 +178,7 @@ BLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "class", "
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks that may hold links, from rows sorted by key, part, size and class.
+    """Rows of blocks that may hold links, from rows sorted by key, part, place and class.
 
     A block of few pairs that can link has a row for each, whose ``hub`` and
     ``class`` they are, with ``split`` -1.  A denser one has its classes that can
@@ -188,7 +190,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """
     carry, large = None, set()
 
-    def closed(key: np.ndarray, part: np.ndarray, n: np.ndarray, at: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    def closed(key: np.ndarray, part: np.ndarray, place: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        n, at = place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (cls[1:] != cls[:-1])
         key, part, n, reach, cls = (x[fresh] for x in (key, part, n, n - at, cls))
@@ -223,7 +226,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([named[c], dense[c]]), pa.int64()) for c in BLOCK.names})
 
     for rb in batches:
-        cols = [rb.column(c).to_numpy() for c in ("key", "part", "n", "at", "class")]
+        cols = [rb.column(c).to_numpy() for c in ("key", "part", "place", "class")]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols)]
         # a block that goes on in the next batch waits, but not when it outgrows a part: then what came so far is closed
@@ -486,21 +489,22 @@ def linked(clusters: DataFrame, docs: DataFrame, scratch: Scratch, words: int, p
 def grouped(own: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     """Of rows (id, text): id, address, n, class, and component, the number of its group (null for the empty set), as a table."""
     counted = own.select("text").mapInArrow(lambda it: _common(it, words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).collect()
-    common = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    by_hash = np.argsort(common)
-    known = own.sparkSession.sparkContext.broadcast((common[by_hash], np.array([r[1] for r in top], np.int64)[by_hash]))
+    top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toArrow()
+    common, times = top.column("shingle").to_numpy(), top.column("n").to_numpy()
+    by_hash = np.argsort(common.view(np.uint64))
+    known = own.sparkSession.sparkContext.broadcast((common[by_hash].view(np.uint64), times[by_hash]))
     members = scratch.put(classes(own, known, words, percent), "members")
     known.destroy()
 
     keys = members.filter(F.size("keys") > 0).select(F.posexplode("keys").alias("at", "key"), "n", "class")
-    hot = [(r[0], -(-r[1] // PART)) for r in top if r[1] > PART]
+    hot = [(int(common[i]), -(-int(times[i]) // PART)) for i in np.flatnonzero(times > PART)]
     part = F.lit(0).cast("long")
     if hot:  # at most COMMON_MOST rows
         keys = keys.join(F.broadcast(own.sparkSession.createDataFrame(hot, "key long, parts long")), "key", "left")
         part = F.coalesce(F.pmod("class", "parts") + 1, part)
-    keys = keys.select("key", part.alias("part"), "n", F.col("at").cast("long").alias("at"), "class")
-    blocks = scratch.put(keys.repartition("key", "part").sortWithinPartitions("key", "part", "n", "class").mapInArrow(lambda it: _blocks(it, percent), BLOCK), "blocks")
+    place = F.shiftleft("n", PLACE_BITS) + F.col("at")  # in one number, as these rows are most of what is shuffled
+    keys = keys.select("key", part.alias("part"), place.alias("place"), "class")
+    blocks = scratch.put(keys.repartition("key", "part").sortWithinPartitions("key", "part", "place", "class").mapInArrow(lambda it: _blocks(it, percent), BLOCK), "blocks")
 
     # what pairs ask of a class, for those in some block; copies in other tasks have the same bitmap
     met = blocks.select(F.explode(F.array("class", "hub")).alias("class")).distinct()
