@@ -54,7 +54,7 @@ SSNS = (898 * 99, 9999)
 IPS = (65536, 65536)
 
 
-def _prf(key: str, kind: str, turn: Column, *seen: Column) -> Column:
+def _prf(key: str | Column, kind: str, turn: Column, *seen: Column) -> Column:
     """256 pseudorandom bits in hexadecimal."""
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), *seen), 256)
 
@@ -295,8 +295,10 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFr
     """``docs`` with every validated value in the text replaced by its pseudonym, and ``pii``: kind and pseudonym of each in order."""
     text = F.col(f"`{text_col}`")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("pii", text_col)]
-    found = docs.select(*own, text.alias("__text"), chosen(text).alias("__found"))
-    made = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), pseudonym(x["was"], x["kind"], key)).alias("value"), x["rest"].alias("rest")))
+    # one row beside each text: as a literal, the key would stand in the plan, and so in the event log
+    secret = docs.sparkSession.createDataFrame([(key,)], "__key string")
+    found = docs.select(*own, text.alias("__text"), chosen(text).alias("__found")).crossJoin(F.broadcast(secret))
+    made = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), pseudonym(x["was"], x["kind"], F.col("__key"))).alias("value"), x["rest"].alias("rest")))
     found = found.select(*own, "__text", made.alias("__made"))
     whole = F.array_join(F.transform("__made", lambda m: F.concat(F.coalesce(m["value"], F.lit("")), m["rest"])), "")
     new_text = F.coalesce(whole, F.col("__text")).alias(text_col)
