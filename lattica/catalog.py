@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.operators import charts, graphs, intervals, search, signals, tables, texts, timelines
+from lattica.operators import catalogs, charts, curves, dialogue, graphs, intervals, search, signals, tables, texts, timelines
 from lattica.plans import flagship
 
-MODULES = (flagship, tables, signals, intervals, charts, search, graphs, texts, timelines)
+MODULES = (flagship, tables, signals, intervals, charts, search, graphs, texts, timelines, catalogs, dialogue, curves)
 
 
 def queries() -> dict:

@@ -15,19 +15,27 @@ from lattica.functions import ceil_to, clamp, floor_to
 from lattica.sources import read
 
 
-def bucketed_overlap(a: DataFrame, b: DataFrame, width: int, *, touching: bool = False) -> DataFrame:
-    """Pairs of rows (a_start, a_end) and (b_start, b_end) that overlap, or at least touch.
+def bucketed_overlap(a: DataFrame, b: DataFrame, width: int, *, touching: bool = False, on: list[str] | None = None, salt: int = 1) -> DataFrame:
+    """Pairs of rows (a_start, a_end) and (b_start, b_end) that overlap, or at least touch, and have the columns ``on`` alike.
 
     A row is copied once for each bucket of ``width`` that it meets; choose a
-    width near the usual length.
+    width near the usual length.  Where few buckets hold most rows, ``salt`` deals
+    each bucket's left rows to that many parts, each with all its right rows.
     """
     more = 0 if touching else 1
     spread = lambda df, s, e: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - more) / width))))
-    pairs = spread(a, "a_start", "a_end").join(spread(b, "b_start", "b_end"), "_bucket")
+    left, right, keys = spread(a, "a_start", "a_end"), spread(b, "b_start", "b_end"), [*(on or []), "_bucket"]
+    if salt > 1:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*a.columns), F.lit(salt)).cast("int"))
+        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        keys.append("_salt")
+    pairs = left.join(right, keys)
     meet = (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")) if touching else (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
-    return pairs.filter(meet & (F.col("_bucket") == F.floor(F.greatest("a_start", "b_start") / width))).drop("_bucket")
+    return pairs.filter(meet & (F.col("_bucket") == F.floor(F.greatest("a_start", "b_start") / width))).drop("_bucket", "_salt")
 
 
+#: Parts of a bucket in the joins of all orders, whose days fill a few hundred buckets.
+SALT = 4
 DAY = "datediff(cast({} as date), date'1992-01-01')"
 
 
@@ -45,20 +53,20 @@ def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucketed_overlap(*_spans(spark, sf_dir), 8).select("a_id", "b_id")
+    return bucketed_overlap(*_spans(spark, sf_dir), 8, salt=SALT).select("a_id", "b_id")
 
 
 def interval_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucketed_overlap(*_spans(spark, sf_dir), 8).filter("b_start <= a_start and a_end <= b_end").select("a_id", "b_id")
+    return bucketed_overlap(*_spans(spark, sf_dir), 8, salt=SALT).filter("b_start <= a_start and a_end <= b_end").select("a_id", "b_id")
 
 
 def interval_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucketed_overlap(*_spans(spark, sf_dir), 8, touching=True).filter("a_start = b_end or b_start = a_end").select("a_id", "b_id")
+    return bucketed_overlap(*_spans(spark, sf_dir), 8, touching=True, salt=SALT).filter("a_start = b_end or b_start = a_end").select("a_id", "b_id")
 
 
 def weighted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of a value over an interval, weighted by overlap, whole and half up."""
-    pairs = bucketed_overlap(*_spans(spark, sf_dir), 8)
+    pairs = bucketed_overlap(*_spans(spark, sf_dir), 8, salt=SALT)
     over = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
     sums = pairs.groupBy("b_id", (F.col("b_end") - F.col("b_start")).alias("length")).agg(F.sum(over * (F.col("a_id") % 100)).alias("s"))
     return sums.select("b_id", F.floor((F.col("s") * 2 + F.col("length")) / (F.col("length") * 2)).cast("long").alias("mean"))
@@ -67,7 +75,7 @@ def weighted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _spans(spark, sf_dir)
     points = a.select("a_id", "a_start", (F.col("a_start") + 1).alias("a_end"))
-    return bucketed_overlap(points, b, 8).select("a_id", "b_id")
+    return bucketed_overlap(points, b, 8, salt=SALT).select("a_id", "b_id")
 
 
 def _all_pairs(a: DataFrame, b: DataFrame, where: str, *, touching: bool = False) -> DataFrame:
@@ -168,28 +176,42 @@ def edit_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gaps(split_at(track(spark, sf_dir), _lo(), _hi()), _inside())
 
 
+def _with_item(rows: DataFrame, *more: Column) -> DataFrame:
+    """The rows of ``_OUT`` and, from the part that begins each track, further ones: structs of ``_OUT`` less the track, or null."""
+    own = F.struct(*[F.col(c) for c in _OUT[1:]])
+    new = F.array_compact(F.array(*more))
+    parts = F.when(F.col("first"), F.concat(F.when(F.col("stays"), F.array(own)).otherwise(F.array().cast(_ITEMS)), new.cast(_ITEMS))).when(F.col("stays"), F.array(own))
+    return rows.select("track", F.explode(parts).alias("p")).select("track", "p.*")
+
+
+_ITEMS = "array<struct<ord:bigint,start:bigint,end:bigint,src:bigint>>"
+
+
+def _item(ord_: int, start: Column, end: Column) -> Column:
+    return F.struct(F.lit(ord_).cast("long").alias("ord"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(0).cast("long").alias("src"))
+
+
 def edit_ripple_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range goes, what follows moves left, and a gap of the same length ends the track."""
-    rows = split_at(track(spark, sf_dir), _lo(), _hi()).filter(~_inside())
+    rows = split_at(track(spark, sf_dir), _lo(), _hi())
     cut = F.greatest(F.least(_hi(), F.col("total")) - _lo(), F.lit(0))
-    moved = rows.select("track", "ord", F.when(F.col("start") >= _hi(), F.col("start") - cut).otherwise(F.col("start")).alias("start"), F.when(F.col("start") >= _hi(), F.col("end") - cut).otherwise(F.col("end")).alias("end"), "src")
-    tails = track(spark, sf_dir).filter("ord = 1").withColumn("cut", cut).filter("cut > 0")
-    return moved.unionByName(tails.select("track", F.lit(0).cast("long").alias("ord"), (F.col("total") - F.col("cut")).alias("start"), F.col("total").alias("end"), F.lit(0).cast("long").alias("src")))
+    move = F.when(F.col("start") >= _hi(), cut).otherwise(0)
+    moved = rows.select("track", "ord", (F.col("start") - move).alias("start"), (F.col("end") - move).alias("end"), "src", "total", (~_inside()).alias("stays"), (F.col("start") == 0).alias("first"), cut.alias("cut"))
+    return _with_item(moved, F.when(F.col("cut") > 0, _item(0, F.col("total") - F.col("cut"), F.col("total"))))
 
 
 def edit_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item of 7 enters at 10 and what follows moves right."""
     rows = split_at(track(spark, sf_dir).filter("total > 10"), _lo())
     move = F.when(F.col("start") >= _lo(), 7).otherwise(0)
-    new = track(spark, sf_dir).filter("ord = 1 and total > 10").select("track", F.lit(-1).cast("long").alias("ord"), _lo().cast("long").alias("start"), F.lit(17).cast("long").alias("end"), F.lit(0).cast("long").alias("src"))
-    return rows.select("track", "ord", (F.col("start") + move).alias("start"), (F.col("end") + move).alias("end"), "src").unionByName(new)
+    moved = rows.select("track", "ord", (F.col("start") + move).alias("start"), (F.col("end") + move).alias("end"), "src", F.lit(True).alias("stays"), (F.col("start") == 0).alias("first"))
+    return _with_item(moved, _item(-1, _lo(), F.lit(17)))
 
 
 def edit_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item takes the place of what lies in the range; tracks must reach it."""
-    rows = split_at(track(spark, sf_dir).filter("total >= 40"), _lo(), _hi()).filter(~_inside()).select(*_OUT)
-    new = track(spark, sf_dir).filter("ord = 1 and total >= 40").select("track", F.lit(-1).cast("long").alias("ord"), _lo().cast("long").alias("start"), _hi().cast("long").alias("end"), F.lit(0).cast("long").alias("src"))
-    return rows.unionByName(new)
+    rows = split_at(track(spark, sf_dir).filter("total >= 40"), _lo(), _hi())
+    return _with_item(rows.withColumns({"stays": ~_inside(), "first": F.col("start") == 0}), _item(-1, _lo(), _hi()))
 
 
 def edit_slip(spark: SparkSession, sf_dir: str) -> DataFrame:
