@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.sources import read
@@ -194,7 +194,26 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", digest).join(manifest, "digest", "left").select("id", F.when(F.col("hit"), "hit").otherwise("miss").alias("state"))
 
 
-QUERIES = {f.__name__: f for f in (semantic_diff, field_diff, diff_summary, longest_path_rank, topo_levels, expansion_counts, expansion_counts_all, reachability, merkle_hash, incremental_plan)}
+def reusable_chunks(sources: DataFrame, chunks: DataFrame, prior_sources: DataFrame, prior_chunks: DataFrame) -> DataFrame:
+    """(source, chunk, reuse) of chunks (source, chunk, digest): reused only where the source (source, digest) is unchanged and
+    all its chunks, and no others, were there before."""
+    same = sources.join(prior_sources, ["source", "digest"]).select("source").distinct()
+    count = lambda df: df.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    kept = count(chunks.join(prior_chunks.distinct(), ["source", "chunk", "digest"], "left_semi")).join(count(chunks), ["source", "n"]).join(count(prior_chunks), ["source", "n"])
+    whole = same.join(kept, "source").select("source", F.lit(True).alias("reuse"))
+    return chunks.join(whole, "source", "left").select("source", "chunk", F.coalesce("reuse", F.lit(False)).alias("reuse"))
+
+
+def index_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sources and their lines as chunks, against a version with some of both changed, new or gone."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.sha2("o_orderpriority", 256).alias("digest"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    c = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.row_number().over(order).cast("long").alias("chunk"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("digest"))
+    mark = lambda df, when: df.withColumn("digest", F.when(when, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    return reusable_chunks(o, c, mark(o, F.col("source") % 5 == 0), mark(c.filter("not (chunk = 2 and source % 7 = 0)"), (F.col("chunk") == 1) & (F.col("source") % 3 == 0)))
+
+
+QUERIES = {f.__name__: f for f in (index_reuse, semantic_diff, field_diff, diff_summary, longest_path_rank, topo_levels, expansion_counts, expansion_counts_all, reachability, merkle_hash, incremental_plan)}
 
 _D = """a AS (SELECT o_orderkey AS id, o_orderstatus, o_orderpriority, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders),
 b AS (SELECT id, o_orderstatus, CASE WHEN id % 13 = 0 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN id % 11 = 0 THEN price + 1 ELSE price END AS price FROM a WHERE id % 17 <> 0 UNION ALL SELECT -id, o_orderstatus, o_orderpriority, price FROM a WHERE id % 19 = 0),
@@ -202,6 +221,8 @@ d AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'add' WHEN
 _G = """e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey > 2)), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"""
 _R = f"WITH RECURSIVE {_G}, w AS (SELECT node, 0 AS rank FROM v UNION SELECT e.dst, w.rank + 1 FROM w JOIN e ON e.src = w.node), r AS (SELECT node, CAST(max(rank) AS INTEGER) AS rank FROM w GROUP BY 1)"
 ORACLES = {
+    "index_reuse": """WITH c AS (SELECT l_orderkey AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS chunk FROM lineitem), m AS (SELECT source, max(chunk) AS m FROM c GROUP BY 1)
+SELECT source, chunk, source IN (SELECT o_orderkey FROM orders) AND source % 5 <> 0 AND source % 3 <> 0 AND NOT (m >= 2 AND source % 7 = 0) AS reuse FROM c JOIN m USING (source)""",
     "semantic_diff": f"WITH {_D} SELECT id, op FROM d",
     "diff_summary": f"WITH {_D} SELECT op, count(*) AS n_rows FROM d GROUP BY 1",
     "field_diff": f"""WITH {_D}, f AS (SELECT a.id, unnest([{{p: '/o_orderstatus', o: a.o_orderstatus, n: b.o_orderstatus}}, {{p: '/o_orderpriority', o: a.o_orderpriority, n: b.o_orderpriority}}, {{p: '/price', o: CAST(a.price AS VARCHAR), n: CAST(b.price AS VARCHAR)}}]) AS x FROM a JOIN b ON a.id = b.id)

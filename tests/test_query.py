@@ -55,3 +55,39 @@ def test_input_order_of_rows_does_not_matter(spark):
     plan = q.Plan((SALES, REGIONS), STEPS, "ranked")
     mixed = {k: df.repartition(3) for k, df in tables(spark).items()}
     assert q.ordered(q.execute(plan, mixed)).collect() == q.ordered(q.execute(plan, tables(spark))).collect()
+
+
+def _refused(spark, plan, rows=None):
+    with pytest.raises(q.QueryError) as e:
+        q.execute(plan, rows or tables(spark))
+    return e.value.code, e.value.path
+
+
+def test_literals_and_repeated_group_fields_are_refused(spark):
+    of = lambda field, value: q.Plan((SALES, REGIONS), (q.Filter("f", "sales", q.Compare("eq", field, value)),), "f")
+    for field, value in (("amount", "3"), ("amount", True), ("id", 3), ("active", 1), ("day", "2023-02-29"), ("day", 3)):
+        assert _refused(spark, of(field, value)) == ("PREDICATE_TYPE", "steps[0].where")
+    twice = q.Plan((SALES,), (q.Group("g", "sales", (("region", "a"), ("region", "b"))), q.Aggregate("x", "g", (("count", None, "n"),))), "x")
+    assert _refused(spark, twice) == ("DUPLICATE_FIELD", "steps[0]")
+
+
+def test_keys_are_checked_on_the_data(spark):
+    good = tables(spark)
+    again = {**good, "regions": good["regions"].union(good["regions"].filter("code = 'north'"))}
+    plan = q.Plan((SALES, REGIONS), STEPS, "ranked")
+    assert _refused(spark, plan, again) == ("SOURCE_KEY", "sources[1]")
+    from pyspark.sql import functions as F
+
+    none = {**good, "sales": good["sales"].withColumn("id", F.when(F.col("id") != "s2", F.col("id")))}
+    assert _refused(spark, plan, none) == ("SOURCE_KEY", "sources[0]")
+    by_label = q.Join("both", "sales", "regions", (("region", "code"),), (("right", "label", "label"),), ("label",))
+    assert _refused(spark, q.Plan((SALES, REGIONS), (by_label,), "both")) == ("JOIN_RESULT_KEY", "steps[0]")
+    assert q.execute(plan, again, verify=False)[0].count() > 0
+
+
+def test_order_survives_groups_and_joins(spark):
+    for field, way, want in (("amount", "desc", ["north", "south"]), ("id", "desc", ["north", "south"]), ("day", "asc", ["north", "south"]), ("amount", "asc", ["north", "south"]), ("active", "desc", ["north", "south"]), ("region", "desc", ["south", "north"])):
+        steps = (q.Sort("s", "sales", ((field, way),)), q.Join("j", "s", "regions", (("region", "code"),), (("left", "id", "id"), ("left", "region", "region")), ("id",)), q.Group("g", "j", (("region", "region"),)), q.Aggregate("a", "g", (("count", None, "n"),)), q.Series("points", "a", "region", ("n",)))
+        result = q.execute(q.Plan((SALES, REGIONS), steps, "points"), tables(spark))
+        assert [r.region for r in q.ordered(result).collect()] == want, (field, way)
+        assert [(r.place, r.region) for r in q.placed(result).orderBy("place").collect()] == list(enumerate(want, 1))
