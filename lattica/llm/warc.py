@@ -14,8 +14,9 @@ moved to its own, so a repeated task leaves one whole file.
 
 Defined cases: null html is an empty payload; payloads of fewer than
 ``LEAST_SHARED`` bytes never refer to another page; a repeated page_id is a
-record each; a null page_id is written as such and never referred to; an empty
-table gives an empty result.
+record each, and where rows repeat the smallest page_id with its payload, each of
+them is a response; a null page_id is written as such, is a response and never
+referred to; an empty table gives an empty result.
 """
 
 from __future__ import annotations
