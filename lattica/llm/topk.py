@@ -13,7 +13,10 @@ Defined cases: vectors that are null, empty, or hold a null or non-finite
 component take no part; only vectors of one length are compared; a row repeated
 with its id and vector counts once, and rows of the query's own id are not its
 candidates; ties go to the smaller id; without candidates a query has no rows;
-the result's columns are fixed, whatever other columns there are.
+the result's columns are fixed, whatever other columns there are; scores are 64-bit
+whole numbers, so vectors whose products pass 2^63 (components of a million at a
+thousand dimensions, scaled) are refused where they meet; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -93,8 +96,11 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int = 102
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            lists = Lists(left["id"].to_numpy(), _matrix(left["v"], left.num_rows))
-            for own, q in zip(right["id"].to_numpy(), _matrix(right["v"], right.num_rows)):
+            vectors_, asked_ = _matrix(left["v"], left.num_rows), _matrix(right["v"], right.num_rows)
+            if float(np.abs(vectors_).max()) * float(np.abs(asked_).max()) * vectors_.shape[1] >= 2.0**63:
+                raise OverflowError("products of these vectors may pass 64 bits: scale them down")
+            lists = Lists(left["id"].to_numpy(), vectors_)
+            for own, q in zip(right["id"].to_numpy(), asked_):
                 ids, scores = lists.top(own, q, k)
                 found.append((np.full(len(ids), own), ids, scores))
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ([], [], []))]
