@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.operators import catalogs, charts, curves, dialogue, graphs, intervals, search, signals, tables, texts, timelines
+from lattica.operators import catalogs, charts, checks, curves, dialogue, graphs, intervals, search, signals, tables, texts, timelines
 from lattica import sources
 from lattica.plans import flagship
 
-MODULES = (flagship, tables, signals, intervals, charts, search, graphs, texts, timelines, catalogs, dialogue, curves, sources)
+MODULES = (flagship, tables, signals, intervals, charts, search, graphs, texts, timelines, catalogs, dialogue, curves, checks, sources)
 
 
 def queries() -> dict:
