@@ -107,12 +107,6 @@ def _at_noons(s: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def keyframe_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values at noon of the 30 days from 2024-01-01 on, which the SQL of this query fixes."""
-    s = _signal(spark, sf_dir)
-    return _at_noons(s, s.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("day")))
-
-
-def keyframe_linear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values at noon of each day from a user's first sample to the last."""
     s = _signal(spark, sf_dir)
     day = F.floor(F.col("t") / 86400)
@@ -139,11 +133,15 @@ def tempo_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("b", beats).select("event_id", F.coalesce(F.sum("b").over(_by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beats60"))
 
 
-QUERIES = {f.__name__: f for f in (series_long, scale_linear, linear_ticks, scale_log, scale_categorical, scale_date, date_ticks, bar_layout, number_format, asof_step, keyframe_linear, keyframe_linear_all, hold_last_usable, ramp_integral, tempo_beats)}
+#: The second name of a query over all days, from when the first took some.
+QUERIES = {"keyframe_linear_all": keyframe_linear} | {f.__name__: f for f in (series_long, scale_linear, linear_ticks, scale_log, scale_categorical, scale_date, date_ticks, bar_layout, number_format, asof_step, keyframe_linear, hold_last_usable, ramp_integral, tempo_beats)}
 
 _M = """m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n_orders, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS revenue FROM orders GROUP BY 1)"""
 _E = """s AS (SELECT user_id, event_id, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS t, CAST(round(value) AS BIGINT) AS v FROM events)"""
 ORACLES = {
+    "number_format": """WITH x AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part), y AS (SELECT *, c * 10 // 8 + CASE WHEN c * 10 % 8 >= 4 THEN 1 ELSE 0 END AS t, c // 8 + CASE WHEN c % 8 >= 4 THEN 1 ELSE 0 END AS a FROM x),
+e AS (SELECT *, t // 10 + CASE WHEN t % 10 > 5 OR (t % 10 = 5 AND t // 10 % 2 = 1) THEN 1 ELSE 0 END AS b FROM y)
+SELECT p_partkey, printf('%d.%02d u', a // 100, a % 100) AS away, printf('%d.%02d', b // 100, b % 100) AS even FROM e""",
     "series_long": f"WITH {_M} SELECT month, 'n_orders' AS series, n_orders AS value FROM m UNION ALL SELECT month, 'revenue', revenue FROM m",
     "scale_linear": f"WITH {_M} SELECT month, CAST((n_orders - min(n_orders) OVER ()) * 1000000 // greatest(max(n_orders) OVER () - min(n_orders) OVER (), 1) AS BIGINT) AS place_ppm FROM m",
     "linear_ticks": f"WITH {_M}, r AS (SELECT min(revenue) AS lo, max(revenue) AS hi FROM m) SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) * i // 4 AS tick FROM r, range(5) t(i)",
@@ -157,7 +155,7 @@ SELECT event_id, orderkey AS last_order FROM e ASOF LEFT JOIN o ON e.k = o.k AND
     "hold_last_usable": f"WITH {_E} SELECT event_id, last_value(CASE WHEN v >= 20 THEN v END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM s",
     "ramp_integral": f"WITH {_E}, a AS (SELECT *, coalesce((v + lag(v) OVER o) * (t - lag(t) OVER o), 0) AS area FROM s WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT event_id, CAST(sum(area) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS area2 FROM a",
     "tempo_beats": f"WITH {_E}, b AS (SELECT *, v * (lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) - t) AS b FROM s) SELECT event_id, CAST(coalesce(sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS beats60 FROM b",
-    "keyframe_linear": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM s), p AS (SELECT u.user_id, d.day * 86400 + 43200 AS t FROM (SELECT DISTINCT user_id FROM s) u, range(30) d(day)),
+    "keyframe_linear": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM s), p AS (SELECT user_id, unnest(range(CAST(floor(min(t) / 86400.0) AS BIGINT), CAST(floor(max(t) / 86400.0) AS BIGINT) + 1)) * 86400 + 43200 AS t FROM s GROUP BY 1),
 x AS (SELECT p.user_id, p.t, (SELECT max(rn) FROM r WHERE r.user_id = p.user_id AND r.t <= p.t) AS i FROM p)
 SELECT x.user_id, x.t, CASE WHEN a.v IS NULL THEN b.v WHEN b.v IS NULL THEN a.v ELSE CAST(floor(a.v + (b.v - a.v) * (x.t - a.t) / CAST(b.t - a.t AS DOUBLE)) AS BIGINT) END AS v
 FROM x LEFT JOIN r a ON a.user_id = x.user_id AND a.rn = x.i LEFT JOIN r b ON b.user_id = x.user_id AND b.rn = coalesce(x.i, 0) + 1""",

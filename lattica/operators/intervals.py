@@ -41,32 +41,33 @@ DAY = "datediff(cast({} as date), date'1992-01-01')"
 
 def _all_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as intervals of 3 to 12 days, and all of them as intervals of 5 days; both with a day's number."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.expr(DAY.format("o_orderdate")).cast("long").alias("d"))
-    a = o.select(F.col("k").alias("a_id"), F.col("d").alias("a_start"), (F.col("d") + 3 + F.col("k") % 10).alias("a_end"))
-    return a, o.select(F.col("k").alias("b_id"), F.col("d").alias("b_start"), (F.col("d") + 5).alias("b_end"))
+    a, b = _spans(spark, sf_dir)
+    return a.drop("custkey"), b.drop("custkey")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """As ``_all_spans``, but of the right side only every 40th order: the sample that the SQL of these queries fixes."""
-    a, b = _all_spans(spark, sf_dir)
-    return a, b.filter("b_id % 40 = 0")
+    """Both sides of ``_all_spans`` with the order's customer."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.expr(DAY.format("o_orderdate")).cast("long").alias("d"), F.col("o_custkey").alias("custkey"))
+    a = o.select("custkey", F.col("k").alias("a_id"), F.col("d").alias("a_start"), (F.col("d") + 3 + F.col("k") % 10).alias("a_end"))
+    return a, o.select("custkey", F.col("k").alias("b_id"), F.col("d").alias("b_start"), (F.col("d") + 5).alias("b_end"))
 
 
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucketed_overlap(*_spans(spark, sf_dir), 8, salt=SALT).select("a_id", "b_id")
+    """Overlapping intervals of a customer's orders; so too the joins below."""
+    return bucketed_overlap(*_spans(spark, sf_dir), 8, on=["custkey"]).select("a_id", "b_id")
 
 
 def interval_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucketed_overlap(*_spans(spark, sf_dir), 8, salt=SALT).filter("b_start <= a_start and a_end <= b_end").select("a_id", "b_id")
+    return bucketed_overlap(*_spans(spark, sf_dir), 8, on=["custkey"]).filter("b_start <= a_start and a_end <= b_end").select("a_id", "b_id")
 
 
 def interval_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucketed_overlap(*_spans(spark, sf_dir), 8, touching=True, salt=SALT).filter("a_start = b_end or b_start = a_end").select("a_id", "b_id")
+    return bucketed_overlap(*_spans(spark, sf_dir), 8, touching=True, on=["custkey"]).filter("a_start = b_end or b_start = a_end").select("a_id", "b_id")
 
 
 def weighted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of a value over an interval, weighted by overlap, whole and half up."""
-    pairs = bucketed_overlap(*_spans(spark, sf_dir), 8, salt=SALT)
+    pairs = bucketed_overlap(*_spans(spark, sf_dir), 8, on=["custkey"])
     over = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
     sums = pairs.groupBy("b_id", (F.col("b_end") - F.col("b_start")).alias("length")).agg(F.sum(over * (F.col("a_id") % 100)).alias("s"))
     return sums.select("b_id", F.floor((F.col("s") * 2 + F.col("length")) / (F.col("length") * 2)).cast("long").alias("mean"))
@@ -74,13 +75,13 @@ def weighted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _spans(spark, sf_dir)
-    points = a.select("a_id", "a_start", (F.col("a_start") + 1).alias("a_end"))
-    return bucketed_overlap(points, b, 8, salt=SALT).select("a_id", "b_id")
+    points = a.select("custkey", "a_id", "a_start", (F.col("a_start") + 1).alias("a_end"))
+    return bucketed_overlap(points, b, 8, on=["custkey"]).select("a_id", "b_id")
 
 
 def _all_pairs(a: DataFrame, b: DataFrame, where: str, *, touching: bool = False) -> DataFrame:
     """Ids of all rows whose intervals meet: equal intervals are joined as one, so that each pair made is a pair reported."""
-    spans = bucketed_overlap(a.select("a_start", "a_end").distinct(), b.select("b_start", "b_end").distinct(), 8, touching=touching).filter(where)
+    spans = bucketed_overlap(a.select("a_start", "a_end").distinct(), b.select("b_start", "b_end").distinct(), 8, touching=touching, salt=SALT).filter(where)
     return a.join(spans, ["a_start", "a_end"]).join(b, ["b_start", "b_end"]).select("a_id", "b_id")
 
 
@@ -308,20 +309,20 @@ def handle_clamp(spark: SparkSession, sf_dir: str, handle: int = 6, grid: int =
 QUERIES = {f.__name__: f for f in (interval_overlap_join, interval_contained, interval_touches, weighted_overlap, point_in_interval, interval_overlap_join_all, interval_contained_all, interval_touches_all, weighted_overlap_all, point_in_interval_all, edit_split, edit_trim, edit_lift, edit_ripple_delete, edit_insert, edit_overwrite, edit_slip, edit_slide, edit_boundary, no_gap_check, no_overlap_check, coverage_check, interval_subtract, sweep_segments, chunk_plan, sample_points, handle_clamp)}
 
 _I = """o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS d, o_custkey FROM orders),
-a AS (SELECT k AS a_id, d AS a_start, d + 3 + k % 10 AS a_end FROM o), b AS (SELECT k AS b_id, d AS b_start, d + 5 AS b_end FROM o WHERE k % 40 = 0)"""
+a AS (SELECT o_custkey AS c, k AS a_id, d AS a_start, d + 3 + k % 10 AS a_end FROM o), b AS (SELECT o_custkey AS c, k AS b_id, d AS b_start, d + 5 AS b_end FROM o)"""
 _T = """t0 AS (SELECT CAST(l_orderkey AS BIGINT) AS track, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ord, CAST(l_quantity AS BIGINT) AS dur FROM lineitem),
 t AS (SELECT *, CAST(coalesce(sum(dur) OVER (PARTITION BY track ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(dur) OVER (PARTITION BY track ORDER BY ord) AS BIGINT) AS "end", CAST(sum(dur) OVER (PARTITION BY track) AS BIGINT) AS total FROM t0),
 x AS (SELECT track, ord, total, g.s AS start, g.e AS "end", g.s - start AS src FROM (SELECT *, unnest([{s: start, e: least("end", 10)}, {s: greatest(start, 10), e: least("end", 40)}, {s: greatest(start, 40), e: "end"}]) AS g FROM t) WHERE g.s < g.e)"""
 _G = """r AS (SELECT *, CASE WHEN gap AND coalesce(lag(gap) OVER (PARTITION BY track ORDER BY start), false) THEN 0 ELSE 1 END AS f FROM g), u AS (SELECT *, sum(f) OVER (PARTITION BY track ORDER BY start) AS run FROM r)
 SELECT track, min(CASE WHEN gap THEN 0 ELSE ord END) AS ord, min(start) AS start, max("end") AS "end", min(CASE WHEN gap THEN 0 ELSE src END) AS src FROM u GROUP BY track, run"""
-_J = "FROM a JOIN b ON a_start < b_end AND b_start < a_end"
+_J = "FROM a JOIN b ON a.c = b.c AND a_start < b_end AND b_start < a_end"
 
 ORACLES = {
     "interval_overlap_join": f"WITH {_I} SELECT a_id, b_id {_J}",
     "interval_contained": f"WITH {_I} SELECT a_id, b_id {_J} WHERE b_start <= a_start AND a_end <= b_end",
-    "interval_touches": f"WITH {_I} SELECT a_id, b_id FROM a JOIN b ON a_start = b_end OR b_start = a_end",
+    "interval_touches": f"WITH {_I} SELECT a_id, b_id FROM a JOIN b ON a.c = b.c AND (a_start = b_end OR b_start = a_end)",
     "weighted_overlap": f"WITH {_I}, s AS (SELECT b_id, b_end - b_start AS n, CAST(sum((least(a_end, b_end) - greatest(a_start, b_start)) * (a_id % 100)) AS BIGINT) AS s {_J} GROUP BY 1, 2) SELECT b_id, (s * 2 + n) // (n * 2) AS mean FROM s",
-    "point_in_interval": f"WITH {_I} SELECT a_id, b_id FROM a JOIN b ON b_start <= a_start AND a_start < b_end",
+    "point_in_interval": f"WITH {_I} SELECT a_id, b_id FROM a JOIN b ON a.c = b.c AND b_start <= a_start AND a_start < b_end",
     "edit_split": f"""WITH {_T} SELECT track, ord, g.s AS start, g.e AS "end", g.s - start AS src FROM (SELECT *, unnest([{{s: start, e: least("end", 10)}}, {{s: greatest(start, 10), e: "end"}}]) AS g FROM t) WHERE g.s < g.e""",
     "edit_trim": f"""WITH {_T}, g AS (SELECT *, NOT (start >= 10 AND "end" <= 40) AS gap FROM x), {_G}""",
     "edit_lift": f"""WITH {_T}, g AS (SELECT *, (start >= 10 AND "end" <= 40) AS gap FROM x), {_G}""",

@@ -73,16 +73,12 @@ def vector_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def having_words(docs: DataFrame, *words: str) -> DataFrame:
-    """Documents that have all of the words, in whole tokens."""
+    """Documents that have all of the words, in whole tokens; those without a word's letters anywhere are passed over first."""
+    docs = docs.filter(reduce(lambda a, b: a & b, [F.contains(F.lower("text"), F.lit(w)) for w in words]))
     return docs.withColumn("t", tokens(F.col("text"))).filter(F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains("t", w))).select("doc_id", F.size("t").cast("long").alias("n_tokens"))
 
 
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``having_words`` of the documents in English alone, as the SQL of this query fixes."""
-    return having_words(read(spark, sf_dir, "documents").filter("lang = 'en'"), "the", "with", "from")
-
-
-def lexical_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``having_words`` of all documents, whatever their language."""
     return having_words(read(spark, sf_dir, "documents"), "the", "with", "from")
 
@@ -133,7 +129,8 @@ def transcript_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(all_turns, lambda x: x["text"]), " ").alias("joined"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_meanpool_by_label, vector_nms, lexical_search, lexical_search_all, catalog_tiers, evidence_search, rights_predicate, candidate_rank, levelling, transcript_range)}
+#: The second name of a query over all languages, from when the first took one.
+QUERIES = {"lexical_search_all": lexical_search} | {f.__name__: f for f in (vector_topk, vector_meanpool_by_label, vector_nms, lexical_search, catalog_tiers, evidence_search, rights_predicate, candidate_rank, levelling, transcript_range)}
 
 _V = """q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, label, CAST(floor(round(greatest(-1, least(1, list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q) / (sqrt(list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_inner_product(q, q))))), 9) * 1e6 + 0.5) AS BIGINT) AS score_ppm FROM embeddings, q)"""
@@ -147,7 +144,7 @@ SELECT vec_id, label, score_ppm, start, "end" FROM o JOIN w USING (label, start)
     "vector_meanpool_by_label": """WITH n AS (SELECT label, e, sqrt(list_inner_product(e, e)) AS n FROM (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
 p AS (SELECT label, unnest(range(64)) AS pos, unnest(e) / n AS x FROM n), m AS (SELECT label, pos, avg(x) AS m FROM p GROUP BY 1, 2)
 SELECT label, pos, CAST(round(m / sqrt(sum(m * m) OVER (PARTITION BY label)) * 1e4) AS BIGINT) AS x FROM m""",
-    "lexical_search": r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE lang = 'en')
+    "lexical_search": r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)
 SELECT doc_id, CAST(len(list_distinct(t)) AS BIGINT) AS n_tokens FROM t WHERE list_has_all(t, ['the', 'with', 'from'])""",
     "catalog_tiers": "SELECT p_partkey, CAST(CASE WHEN p_partkey = 7 THEN 0 WHEN starts_with(lower(p_name), 'part') THEN 1 ELSE 2 END AS INTEGER) AS tier FROM part WHERE p_partkey = 7 OR contains(lower(p_name), '1')",
     "evidence_search": r"""WITH e AS (SELECT p_partkey, CASE WHEN len(list_filter(regexp_extract_all(lower(p_brand), '[\p{L}\p{N}]+'), lambda d: starts_with(d, token))) > 0 THEN 1000000 WHEN token = 'size' AND p_size > 10 THEN p_size * 10000 END AS score FROM part, (VALUES ('brand'), ('size')) w(token))
