@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm import textkit as tk
-from lattica.llm.shared import Scratch
+from lattica.llm.shared import Scratch, map_batches
 
 #: Most bytes of benchmark text that one broadcast stands for.
 SLICE_BYTES = 8 << 20
@@ -156,8 +156,8 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: T.St
                     yield pa.RecordBatch.from_pydict({"own": own, "hits": _hit_lists(hits)})
 
         if last:
-            return rows.mapInArrow(scan, schema)
-        rows = scratch.put(rows.mapInArrow(scan, rows.schema), "hits")
+            return map_batches(rows, scan, schema)
+        rows = scratch.put(map_batches(rows, scan, rows.schema), "hits")
         known.destroy()
 
 

@@ -53,7 +53,7 @@ from pyspark.sql import types as T
 
 from lattica.llm import textkit as tk
 from lattica.llm.components import components
-from lattica.llm.shared import Scratch
+from lattica.llm.shared import Scratch, local_table, map_batches
 
 #: Words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
@@ -171,7 +171,7 @@ def classes(docs: DataFrame, known, words: int, percent: int) -> DataFrame:
                     sigs.append(signature(s) if fresh else none)
             yield pa.RecordBatch.from_pydict({"id": rb.column("id"), "address": rb.column("address"), "n": pa.array(n, pa.int64()), "class": pa.array(cls, pa.int64()), "keys": _long_lists(keys), "sig": _long_lists(sigs)})
 
-    return docs.select("id", _address().alias("address"), "text").mapInArrow(made, schema)
+    return map_batches(docs.select("id", _address().alias("address"), "text"), made, schema)
 
 
 BLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "class", "n", "reach", "hub", "low", "split")])
@@ -266,7 +266,7 @@ def texts_of(docs: DataFrame, needed: DataFrame) -> tuple[DataFrame, Broadcast]:
             where = rb.column("address").to_numpy() % bits
             yield rb.filter(pa.array((passing.value[where >> 6] >> (where & 63)) & 1 == 1))
 
-    found = docs.select(_address().alias("address"), "text").mapInArrow(passed, T.StructType([T.StructField("address", T.LongType()), docs.schema["text"]]))
+    found = map_batches(docs.select(_address().alias("address"), "text"), passed, T.StructType([T.StructField("address", T.LongType()), docs.schema["text"]]))
     return found, passing
 
 
@@ -434,7 +434,7 @@ def possible(rows: DataFrame, sigs: DataFrame, scratch: Scratch, percent: int) -
     # two at home and one visitor have all met: the band's hub and that of the band below were held against all
     dealt = _dealt(rows, scratch, "key", percent, (F.col("lo") < F.col("hi")) & ((F.col("split") > 0) | (F.col("homes") > 2) | (F.col("m") - F.col("homes") > 1)))
     sent = dealt.join(sigs, "class").select("key", *CELL_KEY, "class", "n", "reach", "component", "home", "part", "sig")
-    return sent.repartition("key", *CELL_KEY).sortWithinPartitions("key", *CELL_KEY).mapInArrow(paired, "a long, b long")
+    return map_batches(sent.repartition("key", *CELL_KEY).sortWithinPartitions("key", *CELL_KEY), paired, "a long, b long")
 
 
 def linked(clusters: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
@@ -481,14 +481,14 @@ def linked(clusters: DataFrame, docs: DataFrame, scratch: Scratch, words: int, p
     dealt = _dealt(clusters.withColumn("split", F.lit(0)), scratch, "component", percent, F.col("m") > 1)
     texts, passing = texts_of(docs, clusters.select("address"))
     rows = dealt.join(texts, "address").select("component", *CELL_KEY, "class", "home", "part", "text")
-    links = scratch.put(rows.repartition("component", *CELL_KEY).sortWithinPartitions("component", *CELL_KEY, "class").mapInArrow(matched, "a long, b long"), "links")
+    links = scratch.put(map_batches(rows.repartition("component", *CELL_KEY).sortWithinPartitions("component", *CELL_KEY, "class"), matched, "a long, b long"), "links")
     passing.destroy()
     return links
 
 
 def grouped(own: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     """Of rows (id, text): id, address, n, class, and component, the number of its group (null for the empty set), as a table."""
-    counted = own.select("text").mapInArrow(lambda it: _common(it, words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = map_batches(own.select("text"), lambda it: _common(it, words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toArrow()
     common, times = top.column("shingle").to_numpy(), top.column("n").to_numpy()
     by_hash = np.argsort(common.view(np.uint64))
@@ -500,11 +500,11 @@ def grouped(own: DataFrame, scratch: Scratch, words: int, percent: int) -> DataF
     hot = [(int(common[i]), -(-int(times[i]) // PART)) for i in np.flatnonzero(times > PART)]
     part = F.lit(0).cast("long")
     if hot:  # at most COMMON_MOST rows
-        keys = keys.join(F.broadcast(own.sparkSession.createDataFrame(hot, "key long, parts long")), "key", "left")
+        keys = keys.join(F.broadcast(local_table(own.sparkSession, hot, "key long, parts long")), "key", "left")
         part = F.coalesce(F.pmod("class", "parts") + 1, part)
     place = F.shiftleft("n", PLACE_BITS) + F.col("at")  # in one number, as these rows are most of what is shuffled
     keys = keys.select("key", part.alias("part"), place.alias("place"), "class")
-    blocks = scratch.put(keys.repartition("key", "part").sortWithinPartitions("key", "part", "place", "class").mapInArrow(lambda it: _blocks(it, percent), BLOCK), "blocks")
+    blocks = scratch.put(map_batches(keys.repartition("key", "part").sortWithinPartitions("key", "part", "place", "class"), lambda it: _blocks(it, percent), BLOCK), "blocks")
 
     # what pairs ask of a class, for those in some block; copies in other tasks have the same bitmap
     met = blocks.select(F.explode(F.array("class", "hub")).alias("class")).distinct()

@@ -31,7 +31,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import let
+from lattica.llm.shared import let, local_table
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _GNU_BODY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
@@ -128,7 +128,7 @@ def prepared(spark: SparkSession, templates: list[tuple[str, str]], percent: int
     if any(len(_words(t)) < WORDS for _, t in templates):
         raise ValueError(f"a template needs at least {WORDS} words")
     rows = [(i, name, _words(t), _span(len(_words(t)) - WORDS + 1)) for i, (name, t) in enumerate(templates)]
-    table = spark.createDataFrame(rows, "template int, license string, words array<string>, span int").withColumn("wanted", F.array_distinct(_hashes(F.col("words")))).withColumn("minima", _minima(F.col("wanted"))).drop("words")
+    table = local_table(spark, rows, "template int, license string, words array<string>, span int").withColumn("wanted", F.array_distinct(_hashes(F.col("words")))).withColumn("minima", _minima(F.col("wanted"))).drop("words")
     if sum(len(r[2]) for r in rows) > MOST_SHINGLES:
         raise ValueError(f"templates of more than {MOST_SHINGLES} words in all must be dealt to several scans")
     known = table.select(F.explode("wanted").alias("h")).agg(F.collect_set("h").alias("lookup"))

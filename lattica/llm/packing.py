@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm import tokenizing as tz
-from lattica.llm.shared import written
+from lattica.llm.shared import local_table, map_batches, written
 
 SEQUENCE = 1024
 CLOSING_ID = 0
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
                 crcs.append([zlib.crc32(raw[a : a + 4 * size]) for a in range(0, len(raw), 4 * size)])
             yield pa.RecordBatch.from_pydict({"doc_id": rb.column(id_col), "doc_tokens": pa.array(n), "crcs": pa.array(crcs, pa.list_(pa.int64()))})
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema)
+    return map_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), cut, schema)
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = tz.BYTE_BPE, kind: str | None = None, size: int = SEQUENCE) -> DataFrame:
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             used[length] += packs * each
             offset += length * each
         sequences += packs
-    places = spark.createDataFrame(ranges, "last long, rank_from long, rank_to long, each long, first_sequence long, base long")
+    places = local_table(spark, ranges, "last long, rank_from long, rank_to long, each long, first_sequence long, base long")
 
     # whole sequences come after the packed ones, numbered by length and bucket
     full_bases = bars.select("last", "bucket", "rank_base", "fulls").withColumn("full_base", F.coalesce(F.sum("fulls").over(before), F.lit(0)))
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     for length in sorted(lengths):
         starts.append((length, at))
         at += lengths[length]
-    starts = spark.createDataFrame(starts, "last long, length_base long")
+    starts = local_table(spark, starts, "last long, length_base long")
     # a row for each length and bucket, so it grows with the documents: no broadcast is asked for
     bases = full_bases.join(F.broadcast(starts), "last").select("last", "bucket", "rank_base", (F.col("full_base") + F.col("length_base")).alias("full_base"))
 

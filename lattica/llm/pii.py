@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import let
+from lattica.llm.shared import let, local_table
 
 # fixed values: the formats, by kind; none begins or ends inside a longer word or number
 KINDS = {
@@ -296,7 +296,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFr
     text = F.col(f"`{text_col}`")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("pii", text_col)]
     # one row beside each text: as a literal, the key would stand in the plan, and so in the event log
-    secret = docs.sparkSession.createDataFrame([(key,)], "__key string")
+    secret = local_table(docs.sparkSession, [(key,)], "__key string")
     found = docs.select(*own, text.alias("__text"), chosen(text).alias("__found")).crossJoin(F.broadcast(secret))
     made = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), pseudonym(x["was"], x["kind"], F.col("__key"))).alias("value"), x["rest"].alias("rest")))
     found = found.select(*own, "__text", made.alias("__made"))

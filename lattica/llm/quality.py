@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm import textkit as tk
-from lattica.llm.shared import written
+from lattica.llm.shared import local_table, map_batches, written
 
 #: Labelled rows that the classifier is fitted to, and bytes of their texts, at most.
 FIT_ROWS, FIT_BYTES = 6000, 24 << 20
@@ -176,7 +176,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fi
             taken[r["id"], r["mark"]] = [r[t] for t in TARGETS]
     if not taken:
         return fit([], np.zeros((0, len(TARGETS))))
-    keys = docs.sparkSession.createDataFrame(list(taken), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType())]))
+    keys = local_table(docs.sparkSession, list(taken), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType())]))
     texts = {(r["id"], r["mark"]): r["text"] for r in rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(keys), ["id", "mark"]).dropDuplicates(["id", "mark"]).collect()}
     order = sorted(texts)
     return fit([texts[k] for k in order], np.array([taken[k] for k in order]))
@@ -194,7 +194,7 @@ def scored(docs: DataFrame, classifier: Classifier, *, text_col: str, keep_text:
                 e[part.rows] = known.value.evidence(part)
             yield pa.RecordBatch.from_pydict({c: rb.column(c) for c in rb.schema.names if keep_text or c != text_col} | {name: pa.array(e[:, j], mask=np.isnan(e[:, j])) for j, name in enumerate(names)})
 
-    return docs.mapInArrow(measured, T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text_col), *(T.StructField(name, T.DoubleType()) for name in names)]))
+    return map_batches(docs, measured, T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text_col), *(T.StructField(name, T.DoubleType()) for name in names)]))
 
 
 def _rate(e: Column, odds: Column) -> Column:

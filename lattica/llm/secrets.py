@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm import textkit as tk
+from lattica.llm.shared import map_batches
 
 # fixed values: the base patterns, by kind in the order in which ties are listed
 KINDS = ("assign", "access", "hex", "crf")
@@ -335,7 +336,7 @@ def _scanned(docs: DataFrame, finish: Callable[[pa.RecordBatch, list[list[tuple]
                     spans[part.rows.start + i] = found
             yield finish(rb, spans)
 
-    return docs.mapInArrow(scanned, schema)
+    return map_batches(docs, scanned, schema)
 
 
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lattica.llm import textkit as tk
 from lattica.llm import tokenizing as tz
-from lattica.llm.shared import fresh_path
+from lattica.llm.shared import fresh_path, map_batches
 
 CACHE = T.StructType([T.StructField("tokenizer_version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 #: Texts of more tokens are over the limit.
@@ -84,7 +84,7 @@ def append_misses(docs: DataFrame, cache_path: str, *, text_col: str = "text", t
     kind, version = kind or tokenizer, tokenizer_version(path)
     normal = docs.select(normal_form(F.col(f"`{text_col}`"), kind).alias("normal"))
     keyed = normal.select(_digest(F.col("normal")).alias("digest"), "normal")
-    texts = keyed.mapInArrow(_first_of_each, keyed.schema)
+    texts = map_batches(keyed, _first_of_each, keyed.schema)
     known = read_cache(docs, cache_path, version)
     if known is not None:
         texts = texts.join(known, "digest", "left_anti")
@@ -97,7 +97,7 @@ def append_misses(docs: DataFrame, cache_path: str, *, text_col: str = "text", t
                 n[part.rows] = enc.counts(part)
             yield pa.RecordBatch.from_pydict({"tokenizer_version": pa.array([version] * rb.num_rows, pa.string()), "digest": rb.column("digest"), "n_tokens": pa.array(n)})
 
-    texts.repartition("digest").select("digest", "normal").mapInArrow(encoded, CACHE).write.mode("append").parquet(cache_path)
+    map_batches(texts.repartition("digest").select("digest", "normal"), encoded, CACHE).write.mode("append").parquet(cache_path)
 
 
 def count_tokens(docs: DataFrame, cache_path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = tz.WORD_BPE, kind: str | None = None, limit: int = LIMIT) -> DataFrame:

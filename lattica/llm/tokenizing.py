@@ -42,7 +42,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.cache
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
@@ -102,7 +101,7 @@ class Memo:
 class Encoder:
     """Token ids, or counts of them, by the vocabulary file at ``path``; ``kind`` is how it cuts words.
 
-    A task makes its own and drops it with its words, so that a reused Python process doesn't keep them.
+    A task makes its own and drops it with its vocabulary and words, so that a reused Python process doesn't keep them.
     """
 
     def __init__(self, path: str, kind: str) -> None:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.shared import fresh_path, written
+from lattica.llm.shared import fresh_path, map_batches, written
 
 #: Payloads of at least so many bytes are stored once.
 LEAST_SHARED = 100
@@ -252,7 +252,7 @@ def write_packages(pages: DataFrame, folder: str, *, package_bytes: int = PACKAG
         if held:
             yield closed()
 
-    return written(plan(pages, **columns).mapInArrow(packed, "path string, n_records long"), "packages")
+    return written(map_batches(plan(pages, **columns), packed, "path string, n_records long"), "packages")
 
 
 def open_package(path: str) -> Package:
@@ -294,7 +294,7 @@ def read_packages(paths: DataFrame, *, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return paths.select("path").repartition(max(1, paths.count())).mapInArrow(records, READ)
+    return map_batches(paths.select("path").repartition(max(1, paths.count())), records, READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
