@@ -22,7 +22,7 @@ def orders(spark, tmp_path_factory):
     """Orders of a month, of which the 40th and 80th are few; some before 1992, and their spans."""
     keys = [(k, (k * 7) % 31 - 3) for k in range(1, 91)]
     at = datetime.datetime(1992, 1, 1)
-    df = spark.createDataFrame([(k, at + datetime.timedelta(days=d, hours=k % 24)) for k, d in keys], "o_orderkey long, o_orderdate timestamp_ntz")
+    df = spark.createDataFrame([(k, at + datetime.timedelta(days=d, hours=k % 24)) for k, d in keys], "o_orderkey long, o_orderdate timestamp_ntz").selectExpr("*", "o_orderkey % 7 as o_custkey")
     spans = [(k, d, d + 3 + k % 10) for k, d in keys], [(k, d, d + 5) for k, d in keys]
     return stored(spark, tmp_path_factory.mktemp("orders"), orders=df), *spans
 
