@@ -160,3 +160,4 @@ x AS (SELECT p.user_id, p.t, (SELECT max(rn) FROM r WHERE r.user_id = p.user_id
 SELECT x.user_id, x.t, CASE WHEN a.v IS NULL THEN b.v WHEN b.v IS NULL THEN a.v ELSE CAST(floor(a.v + (b.v - a.v) * (x.t - a.t) / CAST(b.t - a.t AS DOUBLE)) AS BIGINT) END AS v
 FROM x LEFT JOIN r a ON a.user_id = x.user_id AND a.rn = x.i LEFT JOIN r b ON b.user_id = x.user_id AND b.rn = coalesce(x.i, 0) + 1""",
 }
+ORACLES["keyframe_linear_all"] = ORACLES["keyframe_linear"]

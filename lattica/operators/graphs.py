@@ -233,3 +233,4 @@ nb AS (SELECT k, left(h, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM
 SELECT r_name, sha256(r_name || coalesce(string_agg(p, '' ORDER BY b), '')) AS hash FROM region LEFT JOIN nb ON r_regionkey = nb.k GROUP BY r_regionkey, r_name""",
     "incremental_plan": f"WITH {_D} SELECT b.id, CASE WHEN a.id IS NOT NULL THEN 'hit' ELSE 'miss' END AS state FROM b LEFT JOIN a ON a.id = b.id AND (a.o_orderstatus, a.o_orderpriority, a.price) IS NOT DISTINCT FROM (b.o_orderstatus, b.o_orderpriority, b.price)",
 }
+ORACLES["expansion_counts_all"] = ORACLES["expansion_counts"]

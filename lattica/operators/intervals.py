@@ -352,3 +352,9 @@ SELECT track, chunk, chunk * 15 // 4 * 4 AS start, least((chunk * 15 + 20 + 3) /
     "sample_points": f"""WITH {_T}, c AS (SELECT track, total, unnest(range((total + 9) // 10)) AS slot FROM t WHERE ord = 1) SELECT track, slot, (slot * 10 + least((slot + 1) * 10, total)) // 2 // 4 * 4 AS "at" FROM c""",
     "handle_clamp": f"""WITH {_T} SELECT track, ord, (greatest(start - 6, 0) + 3) // 4 * 4 AS start, least("end" + 6, total) // 4 * 4 AS "end" FROM t""",
 }
+ORACLES |= {
+    "interval_contained_all": f"WITH {_I} SELECT a_id, b_id FROM a JOIN b ON b_start <= a_start AND a_end <= b_end",
+    "interval_touches_all": f"WITH {_I} SELECT a_id, b_id FROM a JOIN b ON a_start = b_end UNION ALL SELECT a_id, b_id FROM a JOIN b ON b_start = a_end",
+    "point_in_interval_all": f"WITH {_I} SELECT a_id, b_id FROM a JOIN b ON b_start <= a_start AND a_start < b_end",
+    "weighted_overlap_all": f"WITH {_I}, v AS (SELECT a_start, a_end, sum(a_id % 100) AS v FROM a GROUP BY 1, 2), s AS (SELECT b_id, b_end - b_start AS n, CAST(sum((least(a_end, b_end) - greatest(a_start, b_start)) * v) AS BIGINT) AS s FROM b JOIN v ON a_start < b_end AND b_start < a_end GROUP BY 1, 2) SELECT b_id, (s * 2 + n) // (n * 2) AS mean FROM s",
+}

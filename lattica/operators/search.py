@@ -155,3 +155,4 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC
     "levelling": """WITH g AS (SELECT user_id, CAST(round(avg(value)) AS BIGINT) AS level, CAST(round(max(value)) AS BIGINT) AS peak FROM events GROUP BY 1) SELECT *, greatest(least(60 - level, 200 - peak, 12), -12) AS gain FROM g""",
     "transcript_range": "SELECT conv_id, count(*) AS n_turns, string_agg(text, ' ' ORDER BY turn) AS joined FROM conversations WHERE turn BETWEEN 1 AND 3 GROUP BY 1",
 }
+ORACLES["lexical_search_all"] = ORACLES["lexical_search"]
