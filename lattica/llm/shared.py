@@ -41,8 +41,16 @@ def _give_back() -> None:
         trim(0)
 
 
+#: Bytes of an Arrow batch where the session names none: long texts make batches of few rows.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_batches(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` whose tasks give back what they freed: Python processes are used again by the tasks that follow."""
+    """``mapInArrow`` in batches of bounded bytes, whose tasks give back what they freed: Python processes are used again by
+    the tasks that follow."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
