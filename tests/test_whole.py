@@ -78,3 +78,15 @@ def test_keyframes_on_each_users_own_days(spark, tmp_path):
 def test_search_in_all_languages(spark, tmp_path):
     df = spark.createDataFrame([(1, "From the start, with care", "en"), (2, "THE mit with und FROM von", "de"), (3, "with the, from", None), (4, "with them from", "fr"), (5, None, "es")], "doc_id long, text string, lang string")
     assert rows("lexical_search_all", spark, stored(spark, tmp_path, documents=df)) == [(1, 5), (2, 6), (3, 3)]
+
+
+@pytest.mark.parametrize("name", ["interval_overlap_join_all", "interval_contained_all", "interval_touches_all", "point_in_interval_all"])
+def test_pairs_of_all_intervals_are_dealt_to_all_tasks(spark, orders, name, monkeypatch):
+    from lattica.operators import intervals
+
+    path, a, b = orders
+    whole = rows(name, spark, path)
+    monkeypatch.setattr(intervals, "BLOCK", 2)  # days have more orders than a block
+    df = catalog.queries()[name](spark, path)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(tuple(r) for r in df.collect()) == whole
