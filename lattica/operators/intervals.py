@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import ceil_to, clamp, floor_to
-from lattica.sources import read
+from lattica.sources import dealt, read
 
 
 def bucketed_overlap(a: DataFrame, b: DataFrame, width: int, *, touching: bool = False, on: list[str] | None = None, salt: int = 1) -> DataFrame:
@@ -140,7 +140,7 @@ def _by_track():
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as one contiguous track: track, ord (from 1), start, dur (whole), end and total."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("track"), F.row_number().over(order).cast("long").alias("ord"), F.col("l_quantity").cast("long").alias("dur"))
+    rows = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").cast("long").alias("track"), F.row_number().over(order).cast("long").alias("ord"), F.col("l_quantity").cast("long").alias("dur"))
     rows = rows.withColumn("start", F.coalesce(F.sum("dur").over(_by_track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.withColumns({"end": F.col("start") + F.col("dur"), "total": F.sum("dur").over(Window.partitionBy("track"))})
 

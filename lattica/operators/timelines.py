@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.sources import read
+from lattica.sources import dealt, parts_for, read
 
 OUT = ("track", "item", "start", "end", "src", "head", "tail", "gap")
 
@@ -21,7 +21,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as a track; the last item of every other track is a gap, and some items are linked across tracks."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     whole = Window.partitionBy("l_orderkey")
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), F.row_number().over(order).cast("long").alias("item"), F.count(F.lit(1)).over(whole).alias("n"), F.col("l_quantity").cast("long").alias("dur"), (F.col("l_partkey") % 7).alias("head"), (F.col("l_suppkey") % 7).alias("tail"), F.when(F.col("l_partkey") % 3 == 0, F.floor(F.col("l_orderkey") / 4)).alias("link"))
+    rows = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("track"), F.row_number().over(order).cast("long").alias("item"), F.count(F.lit(1)).over(whole).alias("n"), F.col("l_quantity").cast("long").alias("dur"), (F.col("l_partkey") % 7).alias("head"), (F.col("l_suppkey") % 7).alias("tail"), F.when(F.col("l_partkey") % 3 == 0, F.floor(F.col("l_orderkey") / 4)).alias("link"))
     end = F.sum("dur").over(Window.partitionBy("track").orderBy("item").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("end", end).select("track", "item", (F.col("end") - F.col("dur")).alias("start"), "end", F.lit(0).cast("long").alias("src"), "head", "tail", ((F.col("item") == F.col("n")) & (F.col("track") % 2 == 0)).alias("gap"), "link")
 
@@ -192,9 +192,15 @@ def swept(spans: DataFrame, by: str, gain: str) -> DataFrame:
     return segments.join(sums, [by, "k"]).select(by, "start", "end", "ids", "least")
 
 
-def clip_diff(before: DataFrame, after: DataFrame, same: list[str], at: str, least: int) -> DataFrame:
-    """Clips added, removed or moved: equal by the columns ``same``, moved if ``at`` differs by more than ``least``."""
-    both = before.select(*same, F.col(at).alias("was")).join(after.select(*same, F.col(at).alias("now")), same, "full_outer")
+def clip_diff(before: DataFrame, after: DataFrame, same: list[str], at: str, least: int, parts: int | None = None) -> DataFrame:
+    """Clips added, removed or moved: equal by the columns ``same``, moved if ``at`` differs by more than ``least``.
+
+    ``parts`` says how many parts both sides are dealt to; without it the session's settings do.
+    """
+    old, new = before.select(*same, F.col(at).alias("was")), after.select(*same, F.col(at).alias("now"))
+    if parts:
+        old, new = old.repartition(parts, *same), new.repartition(parts, *same)
+    both = old.join(new, same, "full_outer")
     op = F.when(F.col("was").isNull(), "add").when(F.col("now").isNull(), "remove").when(F.abs(F.col("now") - F.col("was")) > least, "move")
     return both.select(*same, op.alias("op"), "was", "now").filter("op is not null")
 
@@ -268,7 +274,7 @@ def clip_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items against those of a version in which some are gone, some new and some elsewhere."""
     t = tracks(spark, sf_dir).select("track", "item", "start")
     after = t.filter("item % 5 <> 4").withColumn("start", F.col("start") + F.when(F.col("track") % 3 == 0, F.col("item") % 4).otherwise(0))
-    return clip_diff(t, after.unionByName(t.filter("item = 1").withColumn("item", F.lit(0).cast("long"))), ["track", "item"], "start", 1)
+    return clip_diff(t, after.unionByName(t.filter("item = 1").withColumn("item", F.lit(0).cast("long"))), ["track", "item"], "start", 1, parts_for(read(spark, sf_dir, "lineitem")))
 
 
 QUERIES = {f.__name__: f for f in (track_slip, track_slide, track_boundary, track_insert, track_transitions, track_links, track_coverage, range_covered, track_partition, grid_alignment, silence_subtract, sweep_active, clip_changes)}

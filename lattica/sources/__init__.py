@@ -16,6 +16,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task, where windows and joins sort them: what a task holds stays the same for larger tables.
+TASK_ROWS = 150_000
+
+
+def parts_for(rows: DataFrame, most: int = TASK_ROWS, weight: Column | None = None) -> int:
+    """Parts of which each has about ``most`` rows (or as much of ``weight``), at least as many as the session works on at once."""
+    total = rows.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return max(-(-int(total) // most), rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, key: str, most: int = TASK_ROWS, weight: Column | None = None) -> DataFrame:
+    """The rows by key in ``parts_for`` parts, however large the table; windows and groups by the key need no further shuffle."""
+    return rows.repartition(parts_for(rows, most, weight), key)
+
+
 class SourceError(ValueError):
     """A refused input: a stable ``code`` and a message."""
 
