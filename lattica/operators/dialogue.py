@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica import functions as fn
 from lattica.operators.intervals import bucketed_overlap
-from lattica.sources import read
+from lattica.sources import dealt, read
 
 #: Pauses in milliseconds: shorter than the first are none, then short, medium and long; and from where one ends a sentence.
 PAUSES, SENTENCE_PAUSE = (100, 250, 700), 1000
@@ -22,12 +22,15 @@ RATE_DELTA, LEVEL_DELTA = 100_000, 1500
 LENGTHENED, LOUDER = 1_500_000, 2500
 #: Room left before and after a phrase, and on both sides inside a pause.
 BEFORE, AFTER, MARGIN = 120, 200, 50
+#: Characters of the turns whose words a task sorts.
+TASK_CHARS = 1_000_000
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of conversations with times, levels and pauses by rule."""
     order = Window.partitionBy("conv").orderBy("turn", "pos")
-    w = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", F.col("role").alias("speaker"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("pos", "word"))
+    turns = dealt(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", TASK_CHARS, F.char_length("text"))
+    w = turns.select(F.col("conv_id").alias("conv"), "turn", F.col("role").alias("speaker"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("pos", "word"))
     n = F.char_length("word")
     gap = F.when(F.col("word").rlike("[.!?]$"), 300 + (F.col("pos") * 97 + F.col("turn") * 53) % 1100).when(F.col("word").rlike("[,;:]$"), 260).otherwise((F.col("pos") * 31) % 290)
     w = w.withColumns({"dur": (60 + 40 * n).cast("long"), "gap": gap.cast("long"), "level": (-12000 - (n * 997 + F.col("turn") * 131 + F.col("pos") * 1717) % 6000).cast("long"), "i": (F.row_number().over(order) - 1).cast("long")})
