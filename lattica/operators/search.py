@@ -117,8 +117,14 @@ def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def levelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gain toward a target level, held by the room to the peak ceiling and a bound both ways."""
-    g = read(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value")).cast("long").alias("level"), F.round(F.max("value")).cast("long").alias("peak"))
+    """Gain toward a target level, held by the room to the peak ceiling and a bound both ways.
+
+    Values of at most ten decimal places are summed exactly, so that a mean
+    halfway between two levels doesn't hang on the order of its rows.
+    """
+    exact = F.col("value").try_cast("decimal(28,10)")
+    mean = F.when(F.count_if(exact.cast("double") == F.col("value")) == F.count("value"), F.sum(exact).cast("double") / F.count("value")).otherwise(F.avg("value"))
+    g = read(spark, sf_dir, "events").groupBy("user_id").agg(F.round(mean).cast("long").alias("level"), F.round(F.max("value")).cast("long").alias("peak"))
     return g.select("user_id", "level", "peak", F.greatest(F.least(F.lit(60) - F.col("level"), F.lit(200) - F.col("peak"), F.lit(12)), F.lit(-12)).cast("long").alias("gain"))
 
 
