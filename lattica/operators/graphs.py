@@ -2,7 +2,8 @@
 
 Graph operators relax all edges once a level and end when nothing changes; each
 level is one join and one partial aggregate, and is written as a table, which
-cuts its lineage and the constraints that the optimizer would carry along.
+cuts its lineage and the constraints that the optimizer would carry along.  The
+joins are sort-merge joins: a level is never collected on the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.sources import read
+from lattica.sources import dealt, read
 from lattica.storage import Scratch
 
 #: Levels of a graph, at most; a deeper one, or one with a cycle, is refused.
@@ -84,12 +85,13 @@ def longest_path(graph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
     elif not (lost := missing_nodes(nodes, graph)).isEmpty():
         raise ValueError(f"edges name nodes that are not there, as {lost.first()[0]}")
+    graph = scratch.put(graph, "graph")
     front, fronts = scratch.put(nodes.withColumn("rank", F.lit(0)), "0"), []
     while not front.isEmpty():
         fronts.append(front)
         if len(fronts) > MOST_DEPTH:
             raise ValueError("the graph has a cycle, or more levels than are allowed")
-        step = front.join(graph, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("rank", F.lit(len(fronts)))
+        step = front.hint("merge").join(graph, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("rank", F.lit(len(fronts)))
         front = scratch.put(step, str(len(fronts)))
     return reduce(DataFrame.union, fronts).groupBy("node").agg(F.max("rank").alias("rank")) if fronts else nodes.withColumn("rank", F.lit(0))
 
@@ -113,12 +115,13 @@ def expansions(graph: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     nodes = graph.select(F.col("src").alias("root")).union(graph.select("dst"))
     nodes = (nodes if alone is None else nodes.union(alone)).distinct()
     scratch = Scratch(graph.sparkSession, "expansions")
+    graph = scratch.put(graph, "graph")
     front, levels = scratch.put(nodes.withColumn("paths", F.lit(1).cast("long")), "0"), []
     while not front.isEmpty():
         levels.append(front)
         if len(levels) > MOST_DEPTH:
             raise ValueError("the graph has a cycle, or more levels than are allowed")
-        step = graph.join(front, F.col("dst") == F.col("root")).groupBy(F.col("src").alias("root")).agg(F.sum("paths").alias("paths"))
+        step = graph.join(front.hint("merge"), F.col("dst") == F.col("root")).groupBy(F.col("src").alias("root")).agg(F.sum("paths").alias("paths"))
         front = scratch.put(step, str(len(levels)))
     if not levels:
         return nodes.withColumn("visits", F.lit(1).cast("long"))
@@ -133,11 +136,12 @@ def expansion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reachable(graph: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) for every node that paths from the ``roots`` (root) lead to, the root itself included, by whole frontiers."""
     scratch = Scratch(graph.sparkSession, "reachable")
+    graph = scratch.put(graph, "graph")
     front, fronts = scratch.put(roots.select("root", F.col("root").alias("node")).distinct(), "0"), []
     while not fronts or not front.isEmpty():
         fronts.append(front)
-        step = front.join(graph, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = scratch.put(step.join(reduce(DataFrame.union, fronts), ["root", "node"], "left_anti"), str(len(fronts)))
+        step = front.hint("merge").join(graph, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        front = scratch.put(step.join(reduce(DataFrame.union, fronts).hint("merge"), ["root", "node"], "left_anti"), str(len(fronts)))
     return reduce(DataFrame.union, fronts)
 
 
@@ -159,15 +163,15 @@ def merkle(nodes: DataFrame, graph: DataFrame) -> DataFrame:
     levels, top = [], height.agg(F.max("rank")).first()[0]
     if top is None:
         return nodes.select("node", F.lit(None).cast("string").alias("hash"))
-    own = nodes.join(height, "node")
+    own = nodes.join(height.hint("merge"), "node")
     joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
     for rank in range(top + 1):
         now = own.filter(F.col("rank") == rank)
         if levels:
-            below = graph.join(now, F.col("src") == F.col("node")).select("src", "dst").join(reduce(DataFrame.union, levels), F.col("dst") == F.col("node"))
+            below = graph.join(now.hint("merge"), F.col("src") == F.col("node")).select("src", "dst").join(reduce(DataFrame.union, levels).hint("merge"), F.col("dst") == F.col("node"))
             buckets = below.groupBy("src", F.substring("hash", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sha2(joined("hash"), 256).alias("h")).select("src", F.struct("bucket", "h").alias("part"))
             parts = buckets.groupBy(F.col("src").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["h"]), "").alias("parts"))
-            now = now.join(parts, "node", "left").withColumn("name", F.concat("name", F.coalesce("parts", F.lit(""))))
+            now = now.join(parts.hint("merge"), "node", "left").withColumn("name", F.concat("name", F.coalesce("parts", F.lit(""))))
         levels.append(scratch.put(now.select("node", F.sha2("name", 256).alias("hash")), f"level-{rank}"))
     return reduce(DataFrame.union, levels)
 
@@ -192,18 +196,23 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reusable_chunks(sources: DataFrame, chunks: DataFrame, prior_sources: DataFrame, prior_chunks: DataFrame) -> DataFrame:
     """(source, chunk, reuse) of chunks (source, chunk, digest): reused only where the source (source, digest) is unchanged and
     all its chunks, and no others, were there before."""
-    same = sources.join(prior_sources, ["source", "digest"]).select("source").distinct()
-    count = lambda df: df.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    kept = count(chunks.join(prior_chunks.distinct(), ["source", "chunk", "digest"], "left_semi")).join(count(chunks), ["source", "n"]).join(count(prior_chunks), ["source", "n"])
-    whole = same.join(kept, "source").select("source", F.lit(True).alias("reuse"))
-    return chunks.join(whole, "source", "left").select("source", "chunk", F.coalesce("reuse", F.lit(False)).alias("reuse"))
+    def sides(now: DataFrame, was: DataFrame, *cols: str) -> DataFrame:
+        """How often each row is on either side; the columns begin with the source, by which both may be dealt already."""
+        both = now.select(*cols, F.lit(1).alias("now"), F.lit(0).alias("was")).unionByName(was.select(*cols, F.lit(0).alias("now"), F.lit(1).alias("was")))
+        return both.filter("source is not null").groupBy(*cols).agg(F.sum("now").alias("now"), F.sum("was").alias("was"))
+
+    same = sides(sources, prior_sources, "source", "digest").filter("now > 0 and was > 0 and digest is not null").groupBy("source").agg(F.lit(True).alias("same"))
+    known = (F.col("was") > 0) & F.col("chunk").isNotNull() & F.col("digest").isNotNull()
+    sums = sides(chunks, prior_chunks, "source", "chunk", "digest").groupBy("source").agg(F.sum("now").alias("n"), F.sum("was").alias("n_prior"), F.sum(F.when(known, F.col("now")).otherwise(0)).alias("n_known"))
+    whole = sums.filter("n_known > 0 and n_known = n and n = n_prior").join(same.hint("merge"), "source").select("source", F.lit(True).alias("reuse"))
+    return chunks.join(whole.hint("merge"), "source", "left").select("source", "chunk", F.coalesce("reuse", F.lit(False)).alias("reuse"))
 
 
 def index_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sources and their lines as chunks, against a version with some of both changed, new or gone."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.sha2("o_orderpriority", 256).alias("digest"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    c = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.row_number().over(order).cast("long").alias("chunk"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("digest"))
+    c = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("source"), F.row_number().over(order).cast("long").alias("chunk"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("digest"))
     mark = lambda df, when: df.withColumn("digest", F.when(when, F.sha2("digest", 256)).otherwise(F.col("digest")))
     return reusable_chunks(o, c, mark(o, F.col("source") % 5 == 0), mark(c.filter("not (chunk = 2 and source % 7 = 0)"), (F.col("chunk") == 1) & (F.col("source") % 3 == 0)))
 
