@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -94,13 +95,18 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 def normalised(text: Column, form: str = "NFKC") -> Column:
     """Unicode normal form NFKC or NFC; texts of ASCII alone stay in the JVM, as they are their own form."""
-    odd = F.when(text.rlike("[^\\x00-\\x7F]"), text)
+    odd = F.when(F.octet_length(text) > F.char_length(text), text)
     return F.coalesce({"NFKC": _nfkc, "NFC": _nfc}[form](odd), text)
 
 
+#: The characters of ``BLANKS`` but the blank itself, one by one.
+_OTHER_BLANKS = "".join(c for c in map(chr, range(1 << 16)) if re.match(f"[{BLANKS}]", c) and c != " ")
+
+
 def collapsed(text: Column) -> Column:
     """Without white space at the ends, and one blank for each run of it inside."""
-    return F.trim(F.regexp_replace(text, f"[{BLANKS}]+", " "))
+    # translated first: a regular expression that tries so large a class at each character takes several times as long
+    return F.trim(F.regexp_replace(F.translate(text, _OTHER_BLANKS, " " * len(_OTHER_BLANKS)), " {2,}", " "))
 
 
 def blank_tokens(text: Column) -> Column:

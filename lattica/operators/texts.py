@@ -14,15 +14,20 @@ ASKED = ("the", "en")
 
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the NFC form, length without spare white space, words by two rules, and whether all asked words are inside."""
-    text = F.col("text")
-    asked = F.array(*map(F.lit, ASKED))
-    return read(spark, sf_dir, "documents").filter("text is not null").select(
+    text, asked = F.col("text"), F.array(*map(F.lit, ASKED))
+    # each form of a text is made once, and what follows counts in it
+    forms = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2(fn.normalised(text, "NFC"), 256).alias("nfc_sha256"), fn.collapsed(text).alias("flat"), F.lower(text).alias("low"))
+    forms = forms.withColumn("parts", F.split("low", r"\W+"))
+    n_blanks = F.char_length("flat") - F.char_length(F.replace("flat", F.lit(" "), F.lit("")))
+    # parts are empty only at the ends
+    empty = lambda at: (F.element_at("parts", at) == "").cast("long")
+    return forms.select(
         "doc_id",
-        F.sha2(fn.normalised(text, "NFC"), 256).alias("nfc_sha256"),
-        F.char_length(fn.collapsed(text)).cast("long").alias("n_collapsed"),
-        F.size(fn.blank_tokens(text)).cast("long").alias("n_blank_words"),
-        F.size(fn.word_tokens(text)).cast("long").alias("n_ascii_words"),
-        fn.contains_all(F.lower(text), asked).alias("has_all"),
+        "nfc_sha256",
+        F.char_length("flat").cast("long").alias("n_collapsed"),
+        F.when(F.col("flat") == "", 0).otherwise(n_blanks + 1).cast("long").alias("n_blank_words"),
+        (F.size("parts") - empty(1) - F.when(F.size("parts") > 1, empty(-1)).otherwise(0)).cast("long").alias("n_ascii_words"),
+        fn.contains_all(F.col("low"), asked).alias("has_all"),
     )
 
 

@@ -82,4 +82,4 @@ def test_forms_of_odd_texts(spark, tmp_path):
 
 def test_each_form_of_a_text_is_made_once(spark):
     p = plan(catalog.queries()["text_forms"](spark, DATA))
-    assert p.count("regexp_replace(") == 1 and p.count("split(") == 1
+    assert p.count("regexp_replace(") == p.count("split(") == p.count("lower(") == 1
