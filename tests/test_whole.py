@@ -90,3 +90,37 @@ def test_pairs_of_all_intervals_are_dealt_to_all_tasks(spark, orders, name, monk
     df = catalog.queries()[name](spark, path)
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(tuple(r) for r in df.collect()) == whole
+
+
+@pytest.mark.parametrize("name", ["interval_overlap_join_all", "interval_contained_all", "interval_touches_all", "point_in_interval_all"])
+def test_tasks_of_all_intervals_have_neighbours(spark, orders, name, monkeypatch):
+    """Tasks grow in number with the pairs, and each has days of its own, so that few ids fill its part of the result."""
+    from pyspark.sql import functions as F
+
+    from lattica.operators import intervals
+
+    path, a, b = orders
+    whole, start = rows(name, spark, path), {k: x for k, x, _ in b}
+    monkeypatch.setattr(intervals, "TASK_PAIRS", len(whole) // 9, raising=False)
+    df = catalog.queries()[name](spark, path).withColumn("part", F.spark_partition_id())
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(r[:2] for r in got) == whole
+    days = {}
+    for _, k, part in got:
+        days.setdefault(part, set()).add(start[k])
+    spans = sorted((min(d), max(d)) for d in days.values())
+    assert len(spans) >= 8 and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("name", ["interval_contained_all", "interval_touches_all", "point_in_interval_all"])
+def test_repeated_and_null_keys_of_all_intervals(spark, tmp_path, name):
+    import duckdb
+
+    at = datetime.datetime(1995, 1, 1)
+    keys = [(k, at + datetime.timedelta(days=d % 9)) for d, k in enumerate([5, 5, None, None, *range(40)])] + [(77, None), (None, None)]
+    path = stored(spark, tmp_path, orders=spark.createDataFrame(keys, "o_orderkey long, o_orderdate timestamp_ntz").selectExpr("*", "1L as o_custkey"))
+    duck = duckdb.connect()
+    duck.execute(f"create view orders as select * from '{path}/orders.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.queries()[name](spark, path).collect()]
+    assert sorted(got, key=repr) == sorted(duck.execute(catalog.oracle_sql()[name]).fetchall(), key=repr)
+    assert any(k is None for _, k in got)
